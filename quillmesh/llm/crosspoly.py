@@ -39,7 +39,7 @@ def nearest_axes(y: np.ndarray, probes: int) -> np.ndarray:
 
 
 def sketch(x: np.ndarray, seed: int) -> np.ndarray:
-    """64 sign bits of each row under random projections, as signed 64-bit integers."""
-    plane = np.random.default_rng(seed).standard_normal((x.shape[1], 64)).astype(np.float32)
+    """128 sign bits of each row under random projections, as two signed 64-bit integers."""
+    plane = np.random.default_rng(seed).standard_normal((x.shape[1], 128)).astype(np.float32)
     bits = np.packbits((x @ plane) > 0, axis=1)
-    return bits.view(">i8").astype(np.int64).ravel()
+    return bits.view(">i8").astype(np.int64)

@@ -6,7 +6,7 @@ with exact cosines. Vectors of one direction form a class with one representativ
 Buckets beyond ``bucket_cap`` are compared in blocks with matrix products instead of pair rows: nothing is left out.
 
 Defined cases: a vector that is null, of another length, all zero or not finite takes no part; a key delivered twice
-counts once (its smallest vector by bytes); equal similarities rank by key; an empty table gives no rows; other columns
+counts once; equal similarities rank by key; an empty table gives no rows; other columns
 of the input are not read.
 """
 
@@ -25,7 +25,7 @@ from quillmesh.session import materialize
 DIM = 64
 TABLES = 10
 SEED = 20_240_501
-HAMMING = 22  # of 64 bits; a cosine of 0.9 has 9.2 differing bits on average, deviation 2.8
+HAMMING = 38  # of 128 bits; a cosine of 0.9 has 18.4 differing bits on average, deviation 4.0
 BUCKET_CAP = 2048
 
 
@@ -47,6 +47,8 @@ def _hashed(tables: int, dim: int):
             if not len(pdf):
                 continue
             u = x / norm[good][:, None]
+            raw32 = x.astype(np.float32)
+            bits = crosspoly.sketch(u.astype(np.float32), SEED)
             unit = u.astype(np.float32)
             main, probes = [], []
             for t in range(tables):
@@ -62,10 +64,11 @@ def _hashed(tables: int, dim: int):
                     "id": pdf["id"].to_numpy(),
                     "n": pdf["n"].to_numpy(),
                     "way": [r.tobytes() for r in np.round(u, 5).astype(np.float32) + np.float32(0)],
-                    "vec": [r.tobytes() for r in u],
-                    "bits": crosspoly.sketch(unit, SEED),
-                    "main": list(np.stack(main, axis=1)),
-                    "probes": list(np.stack(probes, axis=1)),
+                    "vec": [r.tobytes() for r in raw32],
+                    "bits0": bits[:, 0],
+                    "bits1": bits[:, 1],
+                    "main": list(np.stack(main, axis=1).astype(np.int32)),
+                    "probes": list(np.stack(probes, axis=1).astype(np.int32)),
                 }
             )
 
@@ -74,17 +77,22 @@ def _hashed(tables: int, dim: int):
 
 def usable(vectors: DataFrame, tables: int = TABLES, dim: int = DIM) -> DataFrame:
     """The usable rows of (tab, id, n, embedding) with unit vector, class, sign sketch and bucket numbers."""
-    schema = "tab string, id long, n int, way binary, vec binary, bits long, main array<long>, probes array<long>"
+    schema = "tab string, id long, n int, way binary, vec binary, bits0 long, bits1 long, main array<int>, probes array<int>"
     rows = vectors.select("tab", "id", "n", "embedding").where(F.col("embedding").isNotNull() & F.col("id").isNotNull() & F.col("n").isNotNull())
     # way: equal for vectors of one direction; hashed so that a class is one number
     return rows.mapInPandas(_hashed(tables, dim), schema).withColumn("cls", F.xxhash64("tab", "way")).drop("way")
 
 
+def units(vecs: pd.Series) -> np.ndarray:
+    """Unit vectors, one a row, of the stored single-precision ones."""
+    x = np.frombuffer(b"".join(vecs), dtype=np.float32).reshape(len(vecs), -1).astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 def _cosines(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=float)
-    x = np.frombuffer(b"".join(a), dtype=np.float64).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b), dtype=np.float64).reshape(len(b), -1)
+    x, y = units(a), units(b)
     return pd.Series(np.einsum("ij,ij->i", x, y))
 
 
@@ -92,11 +100,11 @@ def _blocks(least: float):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            y = np.frombuffer(b"".join(right["vec"]), dtype=np.float64).reshape(len(right), -1)
+            y = units(right["vec"])
             ids = right["cls"].to_numpy()
             for lo in range(0, len(left), 256):
                 part = left.iloc[lo : lo + 256]
-                x = np.frombuffer(b"".join(part["vec"]), dtype=np.float64).reshape(len(part), -1)
+                x = units(part["vec"])
                 i, j = np.nonzero(x @ y.T >= least)
                 a, b = part["cls"].to_numpy()[i], ids[j]
                 keep = a != b
@@ -108,13 +116,14 @@ def _blocks(least: float):
 
 def close_pairs(reps: DataFrame, least: float, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """Pairs (a, b, sim) of representatives with cosine of at least ``least``, a < b by class number."""
-    slim = reps.select("tab", "cls", "bits", F.explode("main").alias("bucket"))
-    look = reps.select("tab", "cls", "bits", F.explode(F.concat("main", "probes")).alias("bucket"))
+    slim = reps.select("tab", "cls", "bits0", "bits1", F.explode("main").alias("bucket"))
+    look = reps.select("tab", "cls", "bits0", "bits1", F.explode(F.concat("main", "probes")).alias("bucket"))
     big = slim.groupBy("tab", "bucket").count().where(F.col("count") > bucket_cap).select("tab", "bucket")
     hot = [] if big.isEmpty() else [materialize(big, "hot")]
     here = ["tab", "bucket"]
     s = slim.join(hot[0], here, "left_anti") if hot else slim
-    near = F.bit_count(F.col("l.bits").bitwiseXOR(F.col("s.bits"))) <= HAMMING
+    differ = lambda c: F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"s.{c}")))
+    near = differ("bits0") + differ("bits1") <= HAMMING
     on = (F.col("l.tab") == F.col("s.tab")) & (F.col("l.bucket") == F.col("s.bucket")) & (F.col("l.cls") != F.col("s.cls")) & near
     pairs = look.alias("l").join(s.alias("s"), on).select(F.least("l.cls", "s.cls").alias("a"), F.greatest("l.cls", "s.cls").alias("b"))
     if hot:
@@ -135,10 +144,13 @@ def close_pairs(reps: DataFrame, least: float, bucket_cap: int = BUCKET_CAP) ->
 
 def neighbours_within(vectors: DataFrame, least: float, k: int = 10, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """Directed (tab, id, n, id_b, n_b, sim): of each usable row its at most k most similar others with ``sim >= least``."""
-    rows = materialize(usable(vectors).groupBy("tab", "id", "n").agg(F.min(F.struct("cls", "vec", "bits", "main", "probes")).alias("v")).select("tab", "id", "n", "v.*"), "vectors")
-    keyed = rows.select("cls", F.struct("id", "n").alias("key"))
+    rows = materialize(usable(vectors), "vectors")
+    keyed = rows.select("cls", F.struct("id", "n").alias("key")).distinct()
     size = keyed.groupBy("cls").agg(F.count("*").alias("size"), F.min("key").alias("key"))
-    reps = rows.select("tab", "cls", "vec", "bits", "main", "probes", F.struct("id", "n").alias("key")).join(size.select("cls", "key"), ["cls", "key"]).drop("key")
+    # a class may hold a key twice; one row of it is enough
+    firsts = F.struct("tab", "vec", "bits0", "bits1", "main", "probes")
+    reps = rows.withColumn("key", F.struct("id", "n")).join(size.select("cls", "key"), ["cls", "key"]).groupBy("cls").agg(F.min(firsts).alias("r")).select("cls", "r.*")
+    reps = materialize(reps, "reps")
     sims = materialize(close_pairs(reps, least, bucket_cap), "pairs")
     # the first k + 1 members stand for a class: whoever asks, no later member can be among its k nearest
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("key"))
@@ -165,11 +177,11 @@ def _search(k: int):
     def run(key, asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(stored):
-            y = np.frombuffer(b"".join(stored["vec"]), dtype=np.float64).reshape(len(stored), -1)
+            y = units(stored["vec"])
             ids, ns = stored["id"].to_numpy(), stored["n"].to_numpy()
             for lo in range(0, len(asked), 256):
                 part = asked.iloc[lo : lo + 256]
-                x = np.frombuffer(b"".join(part["vec"]), dtype=np.float64).reshape(len(part), -1)
+                x = units(part["vec"])
                 s = np.round(x @ y.T, 12)
                 s[(part["id"].to_numpy()[:, None] == ids) & (part["n"].to_numpy()[:, None] == ns)] = -9
                 for i in range(len(part)):
@@ -196,7 +208,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 4
     def hashed(many: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                u = np.frombuffer(b"".join(pdf["vec"]), dtype=np.float64).reshape(len(pdf), -1).astype(np.float32) if len(pdf) else np.zeros((0, dim), np.float32)
+                u = units(pdf["vec"]).astype(np.float32) if len(pdf) else np.zeros((0, dim), np.float32)
                 if len(u):
                     axes = np.stack([t * 2 * dim + crosspoly.nearest_axes(crosspoly.rotate(u, signs[t]), many) for t in range(tables)], axis=1).reshape(len(u), -1)
                     yield pd.DataFrame({"tab": pdf["tab"], "id": pdf["id"], "n": pdf["n"], "vec": pdf["vec"], "bucket": list(axes.astype(np.int32))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import mixing, neighbours, packing, passages
+from quillmesh.llm import history, mixing, neighbours, packing, passages, wrappers
 from quillmesh.session import materialize, table
 
 
@@ -15,6 +15,22 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return chunks.unionByName(chats)
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    url = history.known_records(table(spark, d, "seen_urls"), table(spark, d, "url_batches"))
+    words = materialize(history.body_words(table(spark, d, "raw_docs")), "words")
+    page = history.History(spark).accept(words)
+    url = url.select(F.lit("url").alias("kind"), F.lit(0).cast("long").alias("id_a"), F.col("rec_id").alias("id_b"))
+    return url.unionByName(page.select(F.lit("page").alias("kind"), "id_a", "id_b"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrappers.furniture_lines(table(spark, d, "raw_docs"))
+
+
+def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return wrappers.main_bodies(table(spark, d, "raw_docs")).select(F.col("id").alias("raw_doc_id"), "body")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return passages.audit_passages(table(spark, d, "raw_docs"), table(spark, d, "doc_chunks"))
 
@@ -55,7 +71,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_split, p5_found, p5_nearest, p6_packed, p6_fill, p7_mixed, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_bodies, p3_found, p3_split, p5_found, p5_nearest, p6_packed, p6_fill, p7_mixed, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import history, mixing, neighbours, packing, passages, wrappers
+from quillmesh.llm import history, mixing, neighbours, packing, passages, subjects, wrappers
 from quillmesh.session import materialize, table
 
 
@@ -70,8 +70,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(materialize(mixing.mix(table(spark, d, "documents"), targets), "mixed"), targets)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.label_documents(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(materialize(p8_found(spark, d), "subjects"), table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_bodies, p3_found, p3_split, p5_found, p5_nearest, p6_packed, p6_fill, p7_mixed, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_bodies, p3_found, p3_split, p5_found, p5_nearest, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import history, mixing, neighbours, packing, passages, subjects, wrappers
+from quillmesh.llm import history, mixing, names, neighbours, packing, passages, subjects, wrappers
 from quillmesh.session import materialize, table
 
 
@@ -39,6 +39,10 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     return passages.split_documents(table(spark, d, "raw_docs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_pairs(names.link_names(names.names_in(table(spark, d, "feed_items"))))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours.neighbours_within(_vectors(spark, d), 0.9)
     a, b = F.struct("id", "n"), F.struct(F.col("id_b").alias("id"), F.col("n_b").alias("n"))
@@ -79,7 +83,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_bodies, p3_found, p3_split, p5_found, p5_nearest, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_bodies, p3_found, p3_split, p4_found, p5_found, p5_nearest, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:

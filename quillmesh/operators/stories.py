@@ -44,7 +44,7 @@ def story_view(items: DataFrame, key: Column) -> DataFrame:
     The representative is the best by score, then the lowest id. Only ids, scores and URLs are gathered a story.
     """
     when = F.coalesce("published_at", "created_at")
-    order = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"), F.col("canonical_url").alias("u"))
+    order = F.struct(F.coalesce(-F.col("score"), F.lit(0)).alias("s"), F.col("id").alias("i"), F.col("canonical_url").alias("u"))
     keyed = items_once(items).withColumn("story_key", key).withColumn("amount_num", amount(F.col("structured")))
     front = F.struct(F.coalesce(-F.col("score"), F.lit(0)).alias("s"), F.col("id").alias("i"), "title", "canonical_url", "summary")
     rolled = keyed.groupBy("story_key").agg(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from quillmesh.plans import feed_plan, urls_plan
+
+MODULES = (urls_plan, feed_plan)
 
 
 def queries() -> dict:

@@ -1,0 +1,34 @@
+"""Which path a message takes, by patterns tried in order (RT-1 to RT-14)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: (route, pattern), the first that matches counts. Own wording; RE2 and Java agree on all of them.
+ROUTES = [
+    ("deep", r"\bdeep[ -]*(search|research|dive)\b"),
+    ("yes", r"^\s*(yes|yep|yeah|sure|ok|okay|go ahead|do it)\b.{0,40}$"),
+    ("no", r"^\s*(no|nope|nah|cancel|skip|stop|not now)\b.{0,30}$"),
+    ("save", r"^\s*(please )?(save|keep|store) (it|this|that|these|those|all|#?[0-9]|the (first|second|third|last))"),
+    ("more", r"^\s*(more|next|show (me )?more|keep going|any more)( please)?[.!?\s]*$"),
+    ("brief", r"^\s*(please )?(brief me|catch me up|fill me in|recap|what did i miss|(give|send) me (a|the|my) (brief|recap))"),
+    ("referent", r"\b(the|that|this) (last |latest |same )?(video|article|story|item|page|report|episode|podcast|one)\b"),
+    ("media", r"https?://\S*(youtu|vimeo|soundcloud|podcast)"),
+    ("link", r"https?://"),
+    ("search", r"\b(search( for)?|find me|look (it |that )?up|dig into)\b"),
+    ("compare", r"\b(compare|versus|vs)\b"),
+    ("relation", r"\b(who (owns|bought|acquired|funds|backs|is behind)|partner(s|ed)? with|behind the)\b"),
+    ("history", r"\b(did (i|we) (ask|say|talk)|earlier|last time|you told me)\b"),
+    ("fresh", r"\b(latest|today|this week|new(est)?|recent(ly)?|right now)\b"),
+    ("big", r"^\s*(what (are|is) the (main|key|overall)|how (has|have|is|are)|why (is|are|do|does)|overview|trends?)\b"),
+    ("question", r"\?\s*$"),
+]
+
+
+def route(message: Column) -> Column:
+    low = F.lower(F.coalesce(message, F.lit("")))
+    out = F.when(F.trim(low) == "", "empty")
+    for name, pattern in ROUTES:
+        out = out.when(low.rlike(pattern), name)
+    return out.otherwise("agent")

@@ -132,13 +132,16 @@ def close_pairs(reps: DataFrame, vecs: DataFrame, least: float, bucket_cap: int
     pairs = look.alias("l").join(s.alias("s"), on).select(F.least("l.cls", "s.cls").alias("a"), F.greatest("l.cls", "s.cls").alias("b"))
     if hot:
         # the same lookups as blocks: stored rows in numbered blocks, each looked-up row sent to every block of its bucket
+        vecs = materialize(vecs, "vecs")
         stored = slim.select("cls", "bucket").join(big, "bucket", "left_semi").join(vecs, "cls")
-        n = stored.groupBy("bucket").agg(F.ceil(F.count("*") / bucket_cap).cast("int").alias("blocks"))
+        n = materialize(stored.groupBy("bucket").agg(F.ceil(F.count("*") / bucket_cap).cast("int").alias("blocks")), "blocks")
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         asked = look.select("cls", "bucket").distinct().join(n, "bucket").join(vecs, "cls")
         asked = asked.withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")).withColumn("block", every)
         stored = stored.join(n, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("part", every)
         by = ["bucket", "block", "part"]
+        # new names for the columns both sides take from the same tables
+        asked = asked.select(*[F.col(c).alias(c) for c in (*by, "cls", "vec")])
         pairs = pairs.unionByName(asked.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(_blocks(least), "a long, b long"))
     cosine = F.pandas_udf(_cosines, "double")
     full = pairs.distinct().join(vecs.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a").join(vecs.select(F.col("cls").alias("b"), F.col("vec").alias("vb")), "b")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import feed_plan, page_plan, text_plan, urls_plan
+from quillmesh.plans import answer_plan, feed_plan, page_plan, text_plan, urls_plan
 
-MODULES = (urls_plan, feed_plan, text_plan, page_plan)
+MODULES = (urls_plan, feed_plan, text_plan, answer_plan, page_plan)
 
 
 def queries() -> dict:

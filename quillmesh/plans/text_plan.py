@@ -82,7 +82,7 @@ def cron_fires(s, d):
 
 
 def topic_lists(s, d):
-    raw = F.concat(F.coalesce("title", F.lit("")), F.lit(" | ai,  chips ;AI chips| "), F.coalesce(F.element_at("tags", 1), F.lit("")), F.lit(";x|y"))
+    raw = F.concat(F.coalesce("title", F.lit("")), F.lit(" | ai,  chips ;AI chips| "), F.coalesce(F.try_element_at("tags", F.lit(1)), F.lit("")), F.lit(";x|y"))
     return _items(s, d).where(F.size("tags") > 0).select("id", text.topics(raw).alias("topics"))
 
 

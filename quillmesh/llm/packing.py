@@ -162,7 +162,7 @@ def pack(docs: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER) -> Data
 def fill(packed: DataFrame, limits: DataFrame) -> DataFrame:
     """Per limit: containers, documents, tokens and the share of room used, separators counted as used."""
     per = packed.groupBy("limit_id", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
-    joined = per.join(F.broadcast(limits.limit(10_000)), "limit_id")
+    joined = per.join(F.broadcast(limits.select("limit_id", "capacity_tokens", "separator_tokens").limit(10_000)), "limit_id")
     used = F.sum(F.col("tokens") + (F.col("items") - 1) * F.coalesce("separator_tokens", F.lit(0)))
     return joined.groupBy("limit_id").agg(
         F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), (used / F.sum("capacity_tokens")).alias("used_share"), F.max(F.col("tokens") + (F.col("items") - 1) * F.coalesce("separator_tokens", F.lit(0)) - F.col("capacity_tokens")).alias("most_over")

@@ -163,3 +163,32 @@ def brief_window(last: Column, days: Column, now: Column, first_days: int = 7) -
     """From when a brief tells: the asked days, else since the last brief, else a week."""
     ago = lambda n: now - F.make_interval(days=n)
     return F.when(days.isNotNull(), ago(days)).otherwise(F.coalesce(last, ago(F.lit(first_days))))
+
+
+def hedged(headline_: Column, thin: Column) -> Column:
+    """A headline that doesn't open with a claim of proof, and says so when the evidence is thin."""
+    # Words that already hedge.
+    hedges = r"\b(thin|unclear|unknown|not (disclosed|confirmed|verified|found|public)|estimate[sd]?|partly|mixed|limited evidence)\b"
+    h = F.regexp_replace(headline_, r"(?i)^\s*(confirmed|verified)\s*(count|users?|products?|list)?\s*[:–—-]\s*", "")
+    h = F.regexp_replace(h, r"(?i)^\s*(confirmed|verified)\s+", "Reported ")
+    soft = F.regexp_replace(F.regexp_replace(h, r"\b(confirmed|verified|proven)\b", "reported"), r"\b(Confirmed|Verified|Proven)\b", "Reported")
+    lowered = F.concat(F.lit("Evidence is thin: "), F.lower(F.left(soft, F.lit(1))), F.substr(soft, F.lit(2)))
+    return F.when(~F.coalesce(thin, F.lit(False)), h).when(F.lower(soft).rlike(hedges), soft).otherwise(lowered)
+
+
+def wide_spread(figures_: Column, ratio: float = 1.08) -> Column:
+    """Whether the figures of an answer lie so far apart that no single one may head it."""
+    n = F.filter(F.transform(figures_, lambda f: F.regexp_replace(f, "[^0-9.]", "").try_cast("double")), lambda x: x.isNotNull() & (x > 0))
+    return (F.size(n) >= 2) & (F.array_max(n) >= ratio * F.array_min(n))
+
+
+def query_templates(subject: str, shape: str, today: str) -> list[str]:
+    """Searches for a question by its shape: a list, a comparison, a count, a yes or no, or anything else."""
+    year = today[:4]
+    by_shape = {
+        "list": ["{s} list", "{s} examples {y}", "companies {s}", "{s} announced {y}"],
+        "compare": ["{s} compared", "{s} benchmark {y}", "{s} differences", "{s} review"],
+        "count": ["{s} number {y}", "{s} statistics", "{s} report {y}", "how many {s}"],
+        "yesno": ["{s}", "{s} confirmed", "{s} denied", "{s} official statement"],
+    }
+    return [t.format(s=subject, y=year) for t in by_shape.get(shape, ["{s}", "{s} {y}", "{s} explained"])]

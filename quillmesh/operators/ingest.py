@@ -43,3 +43,12 @@ def page_text(fit: Column, raw: Column, fallback: Column, least: int = 400, leas
     primary = F.when(F.length(F.coalesce(fit, F.lit(""))) >= least, fit).otherwise(raw)
     enough = F.greatest(F.length(F.coalesce(fit, F.lit(""))), F.length(F.coalesce(raw, F.lit("")))) >= least
     return F.when(enough, primary).when(F.length(fallback) >= least_fallback, fallback)
+
+
+def first_polls(fresh: DataFrame, sources: DataFrame, source: str = "source") -> DataFrame:
+    """``fresh`` with ``silent``: records of a feed that was never polled before are only marked as seen, not read.
+
+    ``sources`` has name and bootstrapped_at; records of unknown sources are read.
+    """
+    known = sources.select(F.col("name").alias(source), F.col("bootstrapped_at").isNull().alias("silent"))
+    return fresh.join(known, source, "left").withColumn("silent", F.coalesce("silent", F.lit(False)))

@@ -65,3 +65,21 @@ def repair_runs(runs: DataFrame, now: str, note: str, within: str = "2 hours", m
     live = F.coalesce(live, F.lit(False))
     text = F.left(F.concat_ws("; ", F.nullif(F.col("error"), F.lit("")), F.lit(note)), F.lit(most))
     return runs.withColumn("error", F.when(live, text).otherwise(F.col("error"))).withColumn("status", F.when(live, "failed").otherwise(F.lower("status")))
+
+
+def take_lease(settings: DataFrame, key: str, owner: str, now: str, minutes: int = 16) -> DataFrame:
+    """The settings (key, value, updated_at) after asking for a lease: taken where it is absent, empty or older than the time.
+
+    The caller has it if its name is the value. A plan can't compare and swap; one driver asks at a time.
+    """
+    at = F.lit(now).cast("timestamp")
+    mine = settings.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(owner).alias("value"), at.alias("updated_at"))
+    held = (F.col("key") == key) & (F.coalesce("value", F.lit("")) != "") & (F.col("updated_at") >= at - F.make_interval(mins=F.lit(minutes)))
+    busy = settings.where(held).select("key")
+    return settings.where((F.col("key") != key) | F.coalesce(held, F.lit(False))).select("key", "value", "updated_at").unionByName(mine.join(busy, "key", "left_anti"))
+
+
+def notice_due(sent: DataFrame, kind: str, now: str, hours: int = 6) -> DataFrame:
+    """One row: whether a notice of that kind was never sent, or longer ago than the hours."""
+    at = F.lit(now).cast("timestamp")
+    return sent.where(F.col("kind") == kind).agg(F.coalesce(F.max("last_sent") < at - F.make_interval(hours=F.lit(hours)), F.lit(True)).alias("due"))

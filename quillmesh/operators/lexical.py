@@ -30,7 +30,7 @@ def idf(passages: DataFrame, words: DataFrame) -> DataFrame:
     """(ord, lex, idf) of the topic words (ord, lex): counted over all passages, boilerplate too."""
     total = passages.agg(F.greatest(F.count("*"), F.lit(1)).cast("double").alias("n"))
     df = passages.select("raw_doc_id", "n", F.explode(tokens(F.col("text"))).alias("lex")).join(F.broadcast(words.select("lex").distinct().limit(10_000)), "lex", "left_semi").groupBy("lex").agg(F.count("*").alias("df"))
-    return words.join(df, "lex", "left").join(F.broadcast(total)).select("ord", "lex", F.log(F.col("n") / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
+    return words.join(df, "lex", "left").select("ord", "lex", F.log(total.scalar() / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
 
 
 def coverage(passages: DataFrame, weighted: DataFrame, boiler: DataFrame) -> DataFrame:

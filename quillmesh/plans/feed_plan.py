@@ -65,7 +65,7 @@ def drain_batch(s, d):
 
 def backlog_when_idle(s, d):
     busy = ledger.live_runs(table(s, d, "runs"), NOW)
-    return ledger.backlog(table(s, d, "raw_docs"), _items(s, d), FAILED).join(F.broadcast(busy), how="cross").where("live = 0").select("id")
+    return ledger.backlog(table(s, d, "raw_docs"), _items(s, d), FAILED).where(busy.scalar() == 0).select("id")
 
 
 def pages_without_passages(s, d):
@@ -225,9 +225,9 @@ def recall_top3(s, d):
 def brief_page(s, d):
     v = stories.story_view(_items(s, d), stories.root_key(F.col("id"), F.col("dup_of")))
     v = v.where((F.col("created_at") >= F.lit("2026-01-01 00:00:00").cast("timestamp")) & ~F.col("summary").eqNullSafe(FAILED))
-    total = v.agg(F.count("*").alias("total"), F.count_if(F.col("score") >= 7).alias("good"))
+    total = v.agg(F.struct(F.count("*").alias("total"), F.count_if(F.col("score") >= 7).alias("good")).alias("t")).scalar()
     page = ranking.page_of(v, [F.desc_nulls_last("score"), F.desc("created_at"), F.asc("rep_id")], 1)
-    return page.join(F.broadcast(total), how="cross").select("rep_id", "title", "score", "articles", "total", "good")
+    return page.withColumn("t", total).select("rep_id", "title", "score", "articles", "t.total", "t.good")
 
 
 def unseen_next(s, d):

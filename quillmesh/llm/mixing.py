@@ -130,5 +130,5 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
     all_used = mixed.agg(F.sum(F.col("tokens") * F.col("repeats")).alias("all"))
     t = targets.select(_plain("source").alias("source"), "target_share").where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"))
-    joined = t.join(used, "source", "left").join(F.broadcast(all_used))
+    joined = t.join(used, "source", "left").withColumn("all", all_used.scalar())
     return joined.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))

@@ -86,5 +86,24 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p2_found, p2_bodies, p3_found, p3_split, p4_found, p5_found, p5_nearest, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_composition)}
 
 
+_BLANKS = "' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12) || chr(160) || chr(8232) || chr(8233) || chr(12288)"
+_USABLE = "embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_VECTORS = f"""(select distinct 'doc_chunks' as t, raw_doc_id as id, n, embedding::double[] as v from doc_chunks where {_USABLE} union all select distinct 'chat_memory', id, 0, embedding::double[] from chat_memory where {_USABLE})"""
+
+SQL = {
+    "p3_found": f"""with s as (select raw_doc_id, n, text from doc_chunks where raw_doc_id is not null and n is not null), top as (select raw_doc_id, max(n) as top from s group by 1),
+      pair as (select s.raw_doc_id, s.n, s.text as b, p.text as a from s join s p on p.raw_doc_id = s.raw_doc_id and p.n = s.n - 1 where s.n > 1),
+      o as (select raw_doc_id, n, coalesce(list_max(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) as shared from pair)
+      select raw_doc_id, n from s where length(text) > 2500
+      union select raw_doc_id, n from o where shared < 80 or shared > 400
+      union select s.raw_doc_id, s.n from s join top using (raw_doc_id) where n < top and regexp_matches(right(rtrim(text, {_BLANKS}), 1), '[\\p{{L}}\\p{{Nd}},]')
+      union select raw_doc_id, i::int from (select raw_doc_id, unnest(range(1, top + 1)) as i from top) h where not exists (select 1 from s where s.raw_doc_id = h.raw_doc_id and s.n = h.i)
+      union select id, 0 from raw_docs d where length(markdown) > 2500 and not exists (select 1 from s where s.raw_doc_id = d.id)""",
+    "p5_found": f"""with v as {_VECTORS}, p as (select a.t, a.id as ia, a.n as na, b.id as ib, b.n as nb, list_cosine_similarity(a.v, b.v) as sim from v a join v b on a.t = b.t and (a.id, a.n) <> (b.id, b.n)),
+      k as (select *, row_number() over (partition by t, ia, na order by sim desc, ib, nb) as rank from p)
+      select distinct t as table_name, least((ia, na), (ib, nb))[1] as id_a, least((ia, na), (ib, nb))[2]::int as n_a, greatest((ia, na), (ib, nb))[1] as id_b, greatest((ia, na), (ib, nb))[2]::int as n_b from k where rank <= 10 and sim >= 0.9""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL

@@ -209,7 +209,7 @@ def caption_segments(s, d):
     """Caption events as JSON read into segments."""
     made = F.to_json(F.struct(F.array(F.struct((F.col("event_id") * 1000 + 500).alias("tStartMs"), F.array(F.struct(F.concat(F.lit(" a\n"), F.col("event_type")).alias("utf8")), F.struct(F.lit("  b").alias("utf8"))).alias("segs"))).alias("events")))
     doc = F.from_json(made, "events array<struct<tStartMs: bigint, segs: array<struct<utf8: string>>>>")
-    e = table(s, d, "events").where("event_id < 2000").select("event_id", F.explode(doc["events"]).alias("e"))
+    e = table(s, d, "events").select("event_id", F.explode(doc["events"]).alias("e"))
     joined = F.trim(F.regexp_replace(F.array_join(F.transform("e.segs", lambda x: x["utf8"]), ""), r"\s+", " "))
     return e.select("event_id", F.round(F.col("e.tStartMs") / 1000.0, 2).alias("start"), joined.alias("text"))
 

@@ -58,3 +58,12 @@ def test_cron(spark, expr, at, want):
 @pytest.mark.parametrize(("said", "want"), [("do a deep search on chips", "deep"), ("yes please", "yes"), ("no thanks", "no"), ("more", "more"), ("brief me", "brief"), ("what about that video", "referent"), ("search for chips", "search"), ("", "empty"), (None, "empty"), ("hello there", "agent")])
 def test_routes(spark, said, want):
     assert value(spark, routes.route, said) == want
+
+
+def test_caption_segments_of_all_events(spark, tmp_path):
+    from quillmesh.plans.text_plan import caption_segments
+
+    rows = [(i, t) for i in (0, 7, 1999, 2000, 2001, 99_999, 10**9) for t in ("click", "view  x")]
+    spark.createDataFrame(rows, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in caption_segments(spark, str(tmp_path)).collect())
+    assert got == sorted((i, round((i * 1000 + 500) / 1000, 2), f"a {' '.join(t.split())} b") for i, t in rows)

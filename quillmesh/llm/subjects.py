@@ -6,7 +6,7 @@ runs over the matrix of all documents: each document's mixture is folded in, and
 so terms that no labelled document has get theirs from the documents they stand in. A sentence is about the subject its
 terms load on, and a document has the subjects of at least a quarter of its subject-bearing sentences.
 
-Sums are made per partition; terms a partition meets once stay out of its sums, all others count in full.
+Sums are made per partition, in parts of about ``FLUSH`` terms, and added up over all; only then rare terms are left out.
 
 Defined cases: null, empty and meaningless texts have no subject terms and no rows; a document delivered twice counts
 once; labels are compared trimmed and in lower case, unknown subjects are ignored; without labels there are no rows.
@@ -28,6 +28,8 @@ from quillmesh.session import materialize
 #: Most labelled documents that the anchors are fitted on (the lowest hashes of their ids).
 LABELLED = 4000
 ROUNDS = 15
+#: Terms that a partition sums up before it passes them on.
+FLUSH = 1 << 18
 #: A term counts if it is in this share of the documents, and in at least MIN_DOCS.
 TERM_SHARE, MIN_DOCS = 2e-4, 3
 #: A term bears a subject if that much of its loading is on it.
@@ -219,7 +221,7 @@ def fit_anchors(texts: list[set[str]], given: list[list[int]], k: int, rounds: i
     return {t: load[:, i].astype(np.float32) for t, i in vocab.items() if load[:, i].max() >= PURE and mass[:, i].sum() >= 0.3 * total[i]}
 
 
-def label_documents(docs: DataFrame, areas: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
+def label_documents(docs: DataFrame, areas: DataFrame, labels: DataFrame, labelled: int = LABELLED, flush: int = FLUSH) -> DataFrame:
     """(doc_id, subject) of ``docs`` (doc_id, text); ``areas`` (subject) and ``labels`` (doc_id, subject) as given by hand."""
     spark = docs.sparkSession
     names = sorted({r.subject.strip() for r in areas.select("subject").where("subject is not null").limit(1000).collect()})
@@ -233,11 +235,17 @@ def label_documents(docs: DataFrame, areas: DataFrame, labels: DataFrame, labell
     if not load:
         return spark.createDataFrame([], schema)
     anchors = spark.sparkContext.broadcast(load)  # bounded by the labelled sample
+    columns = [f"load{j}" for j in range(k)]
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at: dict[str, int] = {}
         sums, seen = np.zeros((1024, k)), np.zeros(1024, np.int64)
         scanner = Scanner(anchors.value)
+
+        def partial() -> pd.DataFrame:
+            n = len(at)
+            return pd.DataFrame({"term": list(at), "n": seen[:n].copy()} | {c: sums[:n, j].copy() for j, c in enumerate(columns)})
+
         for pdf in batches:
             for x in pdf["text"]:
                 x = plain(x or "")
@@ -251,11 +259,18 @@ def label_documents(docs: DataFrame, areas: DataFrame, labels: DataFrame, labell
                     sums, seen = np.vstack([sums, np.zeros((grow, k))]), np.concatenate([seen, np.zeros(grow, np.int64)])
                 sums[i] += about / about.sum()
                 seen[i] += 1
-        yield pd.DataFrame([(t, int(seen[i]), sums[i].tolist()) for t, i in at.items() if seen[i] > 1 or t[-1] == "\t"], columns=["term", "n", "loads"])
+                if len(at) >= flush:
+                    yield partial()
+                    at.clear()
+                    sums[:], seen[:] = 0, 0
+        if at:
+            yield partial()
 
     texts = docs.select("doc_id", "text").where("text is not null")
-    each = texts.select("text").mapInPandas(gather, "term string, n long, loads array<double>")
-    added = each.groupBy("term").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("loads")[j]) for j in range(k)]).alias("loads"))
+    each = texts.select("text").mapInPandas(gather, ", ".join(["term string, n long", *(f"{c} double" for c in columns)]))
+    added = each.groupBy("term").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns])
+    # a language's documents are counted under its code and a tab
+    added = added.where((F.col("n") >= MIN_DOCS) | F.col("term").endswith("\t")).select("term", "n", F.array(*columns).alias("loads"))
     added = materialize(added, "terms")
     whole = {r.term: r for r in added.where(F.col("term").endswith("\t")).collect()}  # one row a language
     # terms in a fixed share of a language's documents: at most the mean number of terms of a document over that share

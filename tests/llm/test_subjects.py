@@ -39,6 +39,23 @@ def test_subjects(spark):
     assert s.label_documents(d, areas, lab.limit(0)).count() == 0
 
 
+def test_terms_spread_over_partitions_count(spark):
+    docs, labels, _ = corpus(120)
+    # three documents in different partitions share a term with sport; no labelled document has it
+    rare = [(2000 + i, "The penalty kick and the zorbing were discussed for a while in the year.") for i in range(3)]
+    asked = (3000, "The zorbing was discussed for a while in the year.")
+    rows = docs + rare + [asked]
+    areas = spark.createDataFrame([(x,) for x in WORDS], "subject string")
+    lab = spark.createDataFrame(labels, "doc_id long, subject string")
+    schema = "doc_id long, text string"
+    results = []
+    for df in (spark.createDataFrame(rows, schema).coalesce(1), spark.createDataFrame(rows, schema).repartitionByRange(len(rows), "doc_id")):
+        results.append(sorted(tuple(r) for r in s.label_documents(df, areas, lab).collect()))
+    assert results[0] == results[1] and (3000, "sport") in results[0]
+    flushed = s.label_documents(spark.createDataFrame(rows, schema).coalesce(1), areas, lab, flush=5)
+    assert sorted(tuple(r) for r in flushed.collect()) == results[0]
+
+
 def test_plain():
     assert s.plain("cafÃ© &amp; b­ar") == "café & bar"
     assert "spot market" in s.terms_of("THE SPOT MARKET IS OPEN TODAY AND LOUD")

@@ -322,14 +322,20 @@ def link_names(names: DataFrame, radius: int = RADIUS) -> DataFrame:
     whole = (org & (F.col("space") != "o:") & (size >= 2) & (F.array_min(F.transform(F.split("core", " "), F.length)) > 1)) | (~org & (F.col("given") != ""))
     forms = materialize(forms.withColumn("whole", whole), "forms")
     strong = forms.where("whole")
-    spaced = strong.select("form", F.when(org, F.concat("space", F.lit("#"), size.cast("string"))).otherwise(F.concat("space", F.lit(":"), F.left("given", F.lit(3)))).alias("space"), "core", "given", "middle")
-    met = radius_join(spaced.select("form", "space", "core"), radius)
+    # a person stands once in the space of each given name that theirs can be
+    spaces = F.when(org, F.array(F.concat("space", F.lit("#"), size.cast("string")))).otherwise(F.transform(F.split("given", r"\|"), lambda g: F.concat("space", F.lit(":"), g)))
+    met = radius_join(strong.select("form", F.explode(spaces).alias("space"), "core"), radius)
     side = lambda p: forms.select(F.col("form").alias(p), F.col("core").alias(f"{p}c"), F.col("given").alias(f"{p}g"), F.col("middle").alias(f"{p}m"))
     met = materialize(met.join(side("a"), "a").join(side("b"), "b"), "met")
     same_given = (F.col("ag") == "") | F.arrays_overlap(F.split("ag", r"\|"), F.split("bg", r"\|"))
     same_middle = (F.col("am") == "") | (F.col("bm") == "") | (F.col("am") == F.col("bm"))
     long = F.least(F.length("ac"), F.length("bc")) >= F.when(F.col("d") > 1, 8).otherwise(5)
-    roots = components(strong.select(F.col("form").alias("node")), met.where(same_given & same_middle & long))
+    edges = materialize(met.where(same_given & same_middle & long), "same")
+    # a short form beside two of the names that it can mean is linked to neither
+    ways = edges.select(F.col("a").alias("form"), "ag", "bg").union(edges.select("b", "bg", "ag")).where("contains(ag, '|') and not contains(bg, '|')")
+    torn = materialize(ways.groupBy("form").agg(F.count_distinct("bg").alias("n")).where("n > 1").select("form"), "torn")
+    edges = edges.join(torn.select(F.col("form").alias("a")), "a", "left_anti").join(torn.select(F.col("form").alias("b")), "b", "left_anti")
+    roots = components(strong.select(F.col("form").alias("node")), edges)
     roots = materialize(strong.join(roots.withColumnRenamed("node", "form"), "form"), "roots")
     # what an incomplete form can mean: (key, root)
     by_word = roots.where(org).select("space", F.explode(F.split("core", " ")).alias("word"), "root").select(F.concat_ws("#", F.lit("w"), "space", "word").alias("key"), "root")

@@ -60,3 +60,11 @@ def test_radius_join_is_exact(spark):
     df = spark.createDataFrame([(i, "s", c) for i, c in enumerate(cores)], "form long, space string, core string")
     got = {(r.a, r.b) for r in n.radius_join(df, 2, cell=30).collect()}
     assert got == {(i, j) for i, j in itertools.combinations(range(len(cores)), 2) if n.distance(cores[i], cores[j], 2) <= 2}
+
+
+def test_people_meet_under_every_given_name(spark):
+    groups = [["Rick Dovalinu", "Richard Dovalinu", "Richard Dovalniu"], ["Katie Sobrinak", "Katherine Sobrinak", "Kate Sobrinka"], ["Teddy Vumokir", "Theodore Vumokir", "Ted Vumokir", "T. Vumokir"], ["Peggy Vumokir"]]
+    groups += [["Frederick Lomatik"], ["Richard Lomatik"], ["Rick Lomatik"]]  # may be either, so it is linked to neither
+    names = spark.createDataFrame([(x,) for g in groups for x in g], "name string")
+    got = {(r.name_a, r.name_b) for r in n.same_pairs(n.link_names(names)).collect()}
+    assert got == {(a, b) for g in groups for a in g for b in g if a < b}

@@ -1,23 +1,30 @@
 """Problem 1: new batches against all history, by immutable per-batch suffix arrays.
 
 URLs: the first record of each canonical form and the forms seen before are found in one pass; all others are known.
-
-Pages: the words of a batch's main bodies are laid end to end. Suffixes that begin at a minimizer (any run of 19 words
-has one) are put in order of the fingerprint of their first 12 words, and written once as the batch's segment. A search
-walks the sorted suffixes of two segments together, which is the binary search of all its suffixes at once; long matches
-add up to the coverage of a record, and records so met are compared by the exact Jaccard similarity of their five-word
-sequences. Segments of one size class are merged pairwise, so n batches leave at most log2(n) segments to search, and no
-run reads the history's pages again. Bodies with the same words are one class, which its lowest id stands for.
-
-Posting lists are read in blocks from the lowest id up, and a record stops as soon as nothing lower can be left: the
-lowest near-duplicate is found exactly, and a group of near-copies isn't expanded into its pairs.
-
-Defined cases: null and unreadable URLs are never known; a record delivered twice counts once; bodies without words
-never count; bodies of fewer than five words are duplicates only if they are equal; empty tables give no rows.
+Canonical forms are stored once, so a later batch doesn't canonicalize the past again.
+
+Pages: the words of a batch's main bodies are laid end to end, and the suffixes that begin at a minimizer (any run of 16
+words holds one) are put in order of their first nine words, each word by its 7-bit number: the batch's suffix array.
+It is kept in shards by a hash of these words, each shard in suffix order, and never changed. A search takes the batch's
+substrings shard by shard to the stored arrays, finds the stretch of suffixes that begin with each by binary search, and
+adds up, over the substrings met, how much of the record each earlier one covers. What is covered enough is compared by
+the exact Jaccard similarity of five-word sequences, the lowest strongly covered record first. Bodies under 150 words
+have all their five-word suffixes in the array. Arrays of one level are merged pairwise, so n batches leave at most
+log2(n) + 1 to search; a manifest in the history's folder lists them, and merged ones are deleted.
+
+Hot passages: a substring in more than HOT bodies of an array is kept as a mark only, so no list is longer than that. The
+bodies that have it are compared among themselves through the rarest two fifths of their five-word sequences: two sets
+of similarity 0.6 must share one of these (prefix filtering). Their lists are read from the lowest id up in blocks, and
+a record stops as soon as nothing lower can be left.
+
+Defined cases: null and unreadable URLs are never known; a record delivered twice counts once; null ids and bodies
+without words never count; bodies of fewer than five words are duplicates only if they are equal; rows may come in any
+order of ids (a late lower id corrects rows already answered); empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -35,21 +42,32 @@ from quillmesh.session import materialize, shared_dir
 
 SHINGLE = 5
 SIMILARITY = 0.6
-#: Words of a suffix that its fingerprint covers, and suffixes among which the least fingerprint is kept.
-DEPTH, WINDOW = 12, 8
-#: Bodies below SHORT words are also searched by every five-word sequence; at most SHORT / 0.6 words are near those.
-SHORT = 40
+#: Words of a suffix that its key holds, and suffixes among which one is kept.
+DEPTH, WINDOW = 9, 8
+#: Bodies below SHORT words can be near others without a common run of 16; those below SHORT / 0.6 have all five-word suffixes.
+SHORT = 90
+#: Shares of a record, in ten thousandths: what long matches must cover of it, and from where on it is compared first.
+COVER, STRONG = 400, 5000
+#: Most suffixes with one key that an array lists.
+HOT = 64
+#: Suffixes in a shard at most, on average.
+SHARD_ROWS = 500_000
 BLOCK = 16
+_SPLIT = 100_000
 
 _WORD = re.compile(r"\w+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint64(2**64 - 1)
 
 
 def known_records(seen: DataFrame, batch: DataFrame) -> DataFrame:
     """rec_id of every record of ``batch`` (rec_id, url) whose canonical URL is in ``seen`` (canonical_url) or on a lower rec_id."""
     new = batch.where(F.col("rec_id").isNotNull()).select("rec_id", canon(F.col("url")).alias("c")).where("c is not null")
-    new = materialize(new, "urls")
-    old = seen.select(F.lit(-(2**63)).alias("rec_id"), canon(F.col("canonical_url")).alias("c")).where("c is not null")
+    return _known(materialize(new, "urls"), seen.select(canon(F.col("canonical_url")).alias("c")).where("c is not null"))
+
+
+def _known(new: DataFrame, old: DataFrame) -> DataFrame:
+    old = old.select(F.lit(-(2**63)).alias("rec_id"), "c")
     first = new.unionByName(old).groupBy(F.xxhash64("c").alias("h"), "c").agg(F.min("rec_id").alias("rec_id")).select("rec_id")
     return new.select("rec_id").join(first, "rec_id", "left_anti").distinct()
 
@@ -79,20 +97,65 @@ def fingerprints(words: np.ndarray, depth: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def sampled_suffixes(words: np.ndarray) -> np.ndarray:
-    """Distinct fingerprints of the suffixes kept for a body: one in every WINDOW, and all short ones of a short body."""
-    h = fingerprints(words, DEPTH)
-    if len(h) > WINDOW:
-        low = h[: len(h) - WINDOW + 1].copy()
+def _leading(words: np.ndarray, at: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """The first ``depth`` words of the suffixes at ``at`` as one number that keeps their order."""
+    small = (words >> np.uint32(32 - bits)).astype(np.int64)
+    key = np.zeros(len(at), dtype=np.int64)
+    for k in range(depth):
+        key = (key << bits) | small[at + k]
+    return key
+
+
+def suffixes(bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, number of the body, part): the kept suffixes of bodies laid end to end; part is their share of the body in ten thousandths.
+
+    Keys of long suffixes are positive, those of five-word ones negative; one key of a body is given once.
+    """
+    size = np.array([len(b) for b in bodies], dtype=np.int64)
+    words = np.concatenate([*bodies, np.zeros(DEPTH + WINDOW, np.uint32)])
+    first = np.concatenate([[0], np.cumsum(size)])
+    owner = np.repeat(np.arange(len(bodies)), size)
+    end = first[1:][owner]
+    at = np.arange(len(owner))
+    keys, docs, parts = [], [], []
+    long = size[owner] >= SHORT
+    if long.any():
+        h = fingerprints(words, DEPTH)[: len(owner)]
+        h[at + DEPTH > end] = _NONE
+        padded = np.concatenate([h, np.full(WINDOW, _NONE)])
+        low, where = padded[: len(owner)].copy(), at.copy()
         for k in range(1, WINDOW):
-            np.minimum(low, h[k : k + len(low)], out=low)
-        h = np.unique(low)
-    elif len(h):
-        h = h.min(keepdims=True)
-    if len(words) < SHORT / SIMILARITY:
-        # another constant keeps the two kinds apart
-        h = np.unique(np.concatenate([h, fingerprints(words, SHINGLE) ^ np.uint64(0x5555555555555555)]))
-    return h
+            other = padded[k : k + len(owner)]
+            less = other < low
+            low[less], where[less] = other[less], at[less] + k
+        kept = np.unique(where[long & (at + WINDOW - 1 + DEPTH <= end)])
+        span = np.minimum(np.diff(np.append(kept, len(owner) + DEPTH)), end[kept] - kept)
+        keys.append(_leading(words, kept, DEPTH, 7))
+        docs.append(owner[kept])
+        parts.append(-(-10_000 * span // size[owner[kept]]))
+    dense = np.nonzero((size[owner] < SHORT / SIMILARITY) & (at + SHINGLE <= end))[0]
+    if len(dense):
+        keys.append(_leading(words, dense, SHINGLE, 12) + np.int64(-(2**63)))
+        docs.append(owner[dense])
+        parts.append(np.zeros(len(dense), np.int64))
+    tiny = [(i, b) for i, b in enumerate(bodies) if 0 < len(b) < SHINGLE]
+    if tiny:
+        keys.append(np.array([zlib.crc32(b.tobytes()) - 2**62 for _, b in tiny], dtype=np.int64))
+        docs.append(np.array([i for i, _ in tiny], dtype=np.int64))
+        parts.append(np.zeros(len(tiny), np.int64))
+    if not keys:
+        return (np.array([], np.int64),) * 3
+    key, doc, part = np.concatenate(keys), np.concatenate(docs), np.concatenate(parts)
+    order = np.lexsort((key, doc))
+    key, doc, part = key[order], doc[order], part[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+    start = np.nonzero(new)[0]
+    key, doc, part = key[start], doc[start], np.add.reduceat(part, start)
+    # five-word sequences of a body weigh alike and add up to the whole
+    few = key < 0
+    many = np.bincount(doc[few], minlength=len(bodies))
+    part[few] = -(-10_000 // many[doc[few]])
+    return key, doc, part
 
 
 @lru_cache(maxsize=256)
@@ -102,7 +165,9 @@ def shingles(words: bytes) -> np.ndarray:
 
 
 def jaccard(a: bytes, b: bytes, least: float = 0.0) -> float:
-    """Similarity of two bodies; 0 where their sizes alone keep it below ``least``."""
+    """Similarity of two bodies; 0 where their sizes alone keep it below ``least``. Equal bodies have 1, however short."""
+    if a == b:
+        return 1.0
     x, y = shingles(a), shingles(b)
     if not len(x) or not len(y) or min(len(x), len(y)) < least * max(len(x), len(y)):
         return 0.0
@@ -117,8 +182,8 @@ def _words_of_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache: dict[str, int] = {}
     for pdf in batches:
+        cache: dict[str, int] = {}
         yield pd.DataFrame({"id": pdf["id"], "words": [word_numbers(t, cache).tobytes() for t in pdf["body"]]})
 
 
@@ -133,24 +198,75 @@ def body_words(docs: DataFrame) -> DataFrame:
 
 def _suffix_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keys = [sampled_suffixes(np.frombuffer(w, dtype=np.uint32)).view(np.int64) for w in pdf["words"]]
-        if keys:
-            yield pd.DataFrame({"key": np.concatenate(keys), "doc": np.repeat(pdf["id"].to_numpy(), [len(k) for k in keys])})
+        if len(pdf):
+            key, doc, part = suffixes([np.frombuffer(w, dtype=np.uint32) for w in pdf["words"]])
+            yield pd.DataFrame({"key": key, "doc": pdf["id"].to_numpy()[doc], "part": part.astype(np.int32)})
+
+
+def suffix_rows(bodies: DataFrame) -> DataFrame:
+    """(key, doc, part): the kept suffixes of (id, words)."""
+    return bodies.select("id", "words").mapInPandas(_suffix_rows, "key long, doc long, part int")
+
+
+def suffix_array(rows: DataFrame, shards: int, hot: int = HOT) -> DataFrame:
+    """(key, doc, part, hot, met, shard): (key, doc, part) in shards, each in suffix order; a key in more than ``hot`` bodies is one marked row.
+
+    Lists are cut to hot + 1 rows before they are shuffled. met: the key isn't alone. Rows with a column ``hot`` keep their mark.
+    """
+    was = F.col("hot") if "hot" in rows.columns else F.lit(False)
+    rows = rows.select("key", "doc", "part", was.alias("hot"))
+    every = Window.partitionBy("key")
+    cut = rows.withColumn("rank", F.row_number().over(every.orderBy(F.desc("hot"), "doc"))).where(F.col("rank") <= hot + 1)
+    cut = cut.withColumn("n", F.count("*").over(every)).withColumn("hot", F.max("hot").over(every) | (F.col("n") > hot))
+    cut = cut.where(~F.col("hot") | (F.col("rank") == 1)).withColumn("shard", F.pmod(F.hash("key"), F.lit(shards)))
+    return cut.select("key", "doc", "part", "hot", (F.col("n") > 1).alias("met"), "shard").sortWithinPartitions("shard", "key", "doc")
+
+
+def _pairs(doc: np.ndarray, old: np.ndarray, part: np.ndarray, few: np.ndarray) -> pd.DataFrame:
+    flat = pd.DataFrame({"doc": doc, "old": old, "long": np.where(few, 0, part), "short": np.where(few, part, 0)})
+    return flat.groupby(["doc", "old"], as_index=False).sum()
 
 
-def suffix_array(classes: DataFrame) -> DataFrame:
-    """(key, doc, rank, met): the kept suffixes of (id, words) in order; rank within a key from the lowest doc, met if it isn't alone."""
-    rows = classes.select("id", "words").mapInPandas(_suffix_rows, "key long, doc long")
-    w = Window.partitionBy("key").orderBy("doc")
-    rank = F.row_number().over(w)
-    met = F.lead("doc").over(w).isNotNull() | (F.lag("doc").over(w).isNotNull())
-    return rows.withColumn("rank", rank).withColumn("met", met)
+_PAIR = "doc long, old long, long long, short long"
 
 
-def _classes(words: DataFrame) -> DataFrame:
-    """(id, cls, same): every body with the lowest id of those with the same words, and the digest of these."""
-    keyed = words.select("id", F.md5("words").alias("same"))
-    return keyed.join(keyed.groupBy("same").agg(F.min("id").alias("cls")), "same").select("id", "cls", "same").distinct()
+def _frame(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(parts) if parts else pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("doc", "old", "long", "short")})
+
+
+def search_shard(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+    """Records of ``stored`` that those of ``asked`` have substrings in common with, and what these cover; a record with a hot one is given alone."""
+    out: list[pd.DataFrame] = []
+    stored = stored.sort_values(["key", "doc"])
+    keys, olds, marks = stored["key"].to_numpy(), stored["doc"].to_numpy(), stored["hot"].to_numpy().astype(bool)
+    for begin in range(0, len(asked) if len(keys) else 0, _SPLIT):
+        a = asked.iloc[begin : begin + _SPLIT]
+        key, doc, part, mark = (a[c].to_numpy() for c in ("key", "doc", "part", "hot"))
+        low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        many = high - low
+        i = np.repeat(np.arange(len(a)), many)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        mine, theirs = mark.astype(bool)[i], marks[j]
+        plain = ~mine & ~theirs & (doc[i] != olds[j])
+        if plain.any():
+            out.append(_pairs(doc[i][plain], olds[j][plain], part[i][plain].astype(np.int64), key[i][plain] < 0))
+        lone = np.unique(np.concatenate([doc[i][~mine & theirs], olds[j][mine & ~theirs]]))
+        if len(lone):
+            out.append(pd.DataFrame({"doc": lone, "old": lone, "long": 0, "short": 0}))
+    return _frame(out)
+
+
+def search_own(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The same within one array's shard: every record with those of lower ids on its lists."""
+    pdf = pdf.sort_values(["key", "doc"])
+    key, doc, part = pdf["key"].to_numpy(), pdf["doc"].to_numpy(), pdf["part"].to_numpy().astype(np.int64)
+    out = []
+    for step in range(1, len(key)):  # no list is longer than HOT
+        same = np.nonzero(key[step:] == key[:-step])[0]
+        if not len(same):
+            break
+        out.append(_pairs(doc[same + step], doc[same], part[same + step], key[same] < 0))
+    return _frame(out).groupby(["doc", "old"], as_index=False).sum() if out else _frame(out)
 
 
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -160,96 +276,220 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y, similarity) >= similarity for x, y in zip(a, b)], dtype=bool)
 
+    ids = pairs.select(F.explode(F.array("doc", "old")).alias("id")).distinct()
+    # only the bodies asked for are moved
+    words = words.join(ids, "id", "left_semi")
     one = words.select(F.col("id").alias("doc"), F.col("words").alias("wa"))
     two = words.select(F.col("id").alias("old"), F.col("words").alias("wb"))
     return pairs.join(two, "old").join(one, "doc").where(near("wa", "wb")).groupBy("doc").agg(F.min("old").alias("old"))
 
 
+def lowest_covered(found: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc, old): the lowest near-duplicate below each doc of (doc, old, long, short), old < doc.
+
+    Candidates up to the lowest one that is strongly covered are compared first; the rest only where none of these is near.
+    """
+    covered = found.groupBy("doc", "old").agg(F.sum("long").alias("long"), F.sum("short").alias("short"))
+    covered = covered.where((F.col("long") >= COVER) | (F.col("short") >= 9_999 * similarity))
+    sure = F.when(F.greatest("long", "short") >= STRONG, F.col("old"))
+    covered = materialize(covered.select("doc", "old", F.min(sure).over(Window.partitionBy("doc")).alias("sure")), "covered")
+    best = materialize(_verified(covered.where("sure is null or old <= sure").select("doc", "old"), words, similarity), "best")
+    rest = covered.where("old > sure").join(best.select("doc"), "doc", "left_anti").select("doc", "old")
+    return best if rest.isEmpty() else best.unionByName(_verified(rest, words, similarity))
+
+
+def rare_sequences(words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, doc): the rarest five-word sequences of each of (id, words), so many that two near sets must share one."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingles(w).view(np.int64) if len(w) >= 4 * SHINGLE else np.array([zlib.crc32(w)], np.int64) for w in pdf["words"]]
+            if sets:
+                many = [len(s) for s in sets]
+                yield pd.DataFrame({"key": np.concatenate(sets), "doc": np.repeat(pdf["id"].to_numpy(), many), "size": np.repeat(many, many)})
+
+    rows = words.select("id", "words").mapInPandas(each, "key long, doc long, size int")
+    met = rows.groupBy("key").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy("n", "key"))
+    rows = rows.join(met, "key").withColumn("rank", rank)
+    return rows.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).where("n > 1").select("key", "doc")
+
+
 def lowest_near(asked: DataFrame, stored: DataFrame, words: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(doc, old): the lowest near-duplicate below each asked doc. asked (key, doc); stored (key, doc, rank); words (id, words)."""
-    at = F.floor((F.col("rank") - 1) / block).cast("int")
-    lists = stored.select("key", F.col("doc").alias("old"), at.alias("block"))
-    more = lists.where("block > 0").groupBy("key", "block").agg(F.min("old").alias("least"))
-    first = asked.join(lists.where("block = 0").drop("block"), "key").where("old < doc").select("doc", "old").distinct()
-    best = materialize(_verified(first, words, similarity), "best")
-    if more.isEmpty():
-        return best
-    more, k = materialize(more, "blocks"), 0
+    """(doc, old): the lowest near-duplicate below each asked doc. asked (key, doc); stored (key, doc); words (id, words).
+
+    A round takes the next ``block`` stored docs of each key that is still asked for; lists are cut to these before they are shuffled.
+    """
+    first = F.row_number().over(Window.partitionBy("key").orderBy("old"))
+    lists = stored.select("key", F.col("doc").alias("old"))
+    open_ = materialize(asked.select("key", "doc", F.lit(None).cast("long").alias("so_far")), "open")
+    past = materialize(asked.select("key").distinct().withColumn("past", F.lit(-(2**63))), "past")
+    best = None
     while True:
-        k += 1
-        # a later block only matters to docs above its least id that have no lower match yet
-        open_ = asked.join(more.where(F.col("block") == k), "key").where("least < doc").join(best, "doc", "left").where("old is null or least < old")
-        open_ = materialize(open_.select("key", "doc", F.col("old").alias("so_far")), "open")
+        now = lists.join(past, "key").where("old > past").select("key", "old").withColumn("rank", first).where(F.col("rank") <= block)
+        now = materialize(now.select("key", "old"), "block")
+        pairs = open_.join(now, "key").where("old < doc and (so_far is null or old < so_far)").select("doc", "old").distinct()
+        found = _verified(pairs, words, similarity)
+        best = materialize(found if best is None else best.unionByName(found).groupBy("doc").agg(F.min("old").alias("old")), "best")
+        # a list goes on if its block was full, for docs above its end without a lower match
+        past = materialize(now.groupBy("key").agg(F.max("old").alias("past"), F.count("*").alias("n")).where(F.col("n") == block).select("key", "past"), "past")
+        if past.isEmpty():
+            return best
+        open_ = open_.drop("so_far").join(past, "key").join(best.withColumnRenamed("old", "so_far"), "doc", "left")
+        open_ = materialize(open_.where("past < doc and (so_far is null or past < so_far)").select("key", "doc", "so_far"), "open")
         if open_.isEmpty():
             return best
-        pairs = open_.join(lists.where(F.col("block") == k).drop("block"), "key").where("old < doc and (so_far is null or old < so_far)").select("doc", "old").distinct()
-        best = materialize(best.unionByName(_verified(pairs, words, similarity)).groupBy("doc").agg(F.min("old").alias("old")), "best")
+        past = materialize(past.join(open_.select("key"), "key", "left_semi"), "past")
 
 
 class History:
-    """The accepted pages as segments: for each a table of classes, their words, their lowest near-duplicates, and the suffix array of the classes."""
+    """The accepted records, as a manifest and the tables it names: bodies by class, the classes' members, and suffix arrays.
+
+    A new process that is given the path goes on where the last one stopped.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str | None = None, hot: int = HOT):
+        self.spark, self.hot = spark, hot
         self.path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
-        self.segments: list[tuple[int, str]] = []  # (level, folder), the oldest first
-
-    def _read(self, what: str) -> DataFrame | None:
-        tables = [self.spark.read.parquet(f"{folder}/{what}") for _, folder in self.segments]
-        out = None
-        for t in tables:
-            out = t if out is None else out.unionByName(t)
-        return out
-
-    def _write(self, level: int, classes: DataFrame, words: DataFrame) -> None:
-        folder = f"{self.path}/{uuid.uuid4().hex}"
-        classes.write.option("compression", "zstd").parquet(f"{folder}/classes")
-        words.write.option("compression", "zstd").parquet(f"{folder}/words")
-        suffix_array(self.spark.read.parquet(f"{folder}/words")).write.option("compression", "zstd").parquet(f"{folder}/suffixes")
-        self.segments.append((level, folder))
+        self.version = 0
+        self.segments: list[dict] = []  # level, folder, shards, bodies (folders); the oldest first
+        self.urls: list[str] = []
+        self.top: int | None = None
+        self._load()
+
+    def _files(self):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path, jvm
+
+    def _load(self) -> None:
+        files, path, jvm = self._files()
+        if not files.exists(path):
+            return
+        names = sorted(s.getPath().getName() for s in files.listStatus(path) if s.getPath().getName().startswith("manifest-"))
+        if names:
+            kept = json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/{names[-1]}").collect()))  # one line
+            self.version, self.segments, self.urls, self.top = kept["version"], kept["segments"], kept["urls"], kept["top"]
+
+    def _save(self, gone: list[str]) -> None:
+        files, _, jvm = self._files()
+        self.version += 1
+        out = files.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-{self.version:09d}"), False)
+        out.write(bytearray(json.dumps({"version": self.version, "segments": self.segments, "urls": self.urls, "top": self.top}).encode()))
+        out.close()
+        for folder in gone:  # only once the new manifest stands
+            files.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
+
+    def _folder(self) -> str:
+        return f"{self.path}/{uuid.uuid4().hex}"
+
+    def _put(self, df: DataFrame, folder: str, *by: str) -> DataFrame:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def _array(self, segment: dict) -> DataFrame:
+        return self.spark.read.schema("key long, doc long, part int, hot boolean, met boolean, shard int").parquet(f"{segment['folder']}/suffixes")
+
+    def _hot(self, segment: dict) -> DataFrame:
+        return self.spark.read.schema("doc long").parquet(f"{segment['folder']}/hot")
+
+    def accept_urls(self, batch: DataFrame) -> DataFrame:
+        """rec_id of the records of ``batch`` (rec_id, url) whose canonical URL is stored or on a lower rec_id; then stores their forms."""
+        new = batch.where(F.col("rec_id").isNotNull()).select("rec_id", canon(F.col("url")).alias("c")).where("c is not null")
+        folder = self._folder() + "/urls"
+        new = self._put(new, folder)
+        old = self.spark.read.schema("c string").parquet(*self.urls) if self.urls else new.select("c").limit(0)
+        known = materialize(_known(new, old), "known")
+        self.urls.append(folder)
+        self._save([])
+        return known
+
+    def seed_urls(self, seen: DataFrame) -> None:
+        """Stores the canonical forms of ``seen`` (canonical_url), without answers."""
+        folder = self._folder() + "/urls"
+        self._put(seen.select(canon(F.col("canonical_url")).alias("c")).where("c is not null"), folder)
+        self.urls.append(folder)
+        self._save([])
+
+    def _shards(self, words: int) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-words // (4 * SHARD_ROWS)))
+
+    def _mark(self, array: DataFrame, rows: DataFrame, folder: str, *more: DataFrame) -> None:
+        """Stores which bodies have a hot substring."""
+        marks = array.where("hot").select("key")
+        docs = rows.join(marks, "key", "left_semi").select("doc")
+        for m in more:
+            docs = docs.unionByName(m)
+        self._put(docs.distinct(), f"{folder}/hot")
 
     def _merge(self) -> None:
-        while len(self.segments) > 1 and self.segments[-1][0] == self.segments[-2][0]:
-            (level, a), (_, b) = self.segments[-2:]
-            del self.segments[-2:]
-            both = lambda what: self.spark.read.parquet(f"{a}/{what}", f"{b}/{what}")
-            folder = f"{self.path}/{uuid.uuid4().hex}"
-            both("classes").write.option("compression", "zstd").parquet(f"{folder}/classes")
-            both("near").write.option("compression", "zstd").parquet(f"{folder}/near")
-            both("words").write.option("compression", "zstd").parquet(f"{folder}/words")
-            w = Window.partitionBy("key").orderBy("doc")
-            met = F.lead("doc").over(w).isNotNull() | F.lag("doc").over(w).isNotNull()
-            both("suffixes").select("key", "doc").withColumn("rank", F.row_number().over(w)).withColumn("met", met).write.option("compression", "zstd").parquet(f"{folder}/suffixes")
-            self.segments.append((level + 1, folder))
+        while len(self.segments) > 1 and self.segments[-1]["level"] == self.segments[-2]["level"]:
+            a, b = self.segments[-2:]
+            folder = self._folder()
+            shards = max(a["shards"], b["shards"], self._shards(a["words"] + b["words"]))
+            rows = self._array(a).unionByName(self._array(b))
+            array = self._put(suffix_array(rows, shards, self.hot), f"{folder}/suffixes", "shard")
+            self._mark(array, rows, folder, self._hot(a), self._hot(b))
+            self.segments[-2:] = [{"level": a["level"] + 1, "folder": folder, "shards": shards, "words": a["words"] + b["words"], "bodies": a["bodies"] + b["bodies"]}]
+            self._save([a["folder"], b["folder"]])
+
+    def _search(self, own: dict, segment: dict) -> DataFrame:
+        asked, stored = self._array(own), self._array(segment)
+        shard = F.pmod(F.hash("key"), F.lit(segment["shards"]))
+        if segment["shards"] > own["shards"]:  # a small batch reads the shards it touches only; at most one number a shard
+            stored = stored.where(F.col("shard").isin([r.shard for r in asked.select(shard.alias("shard")).distinct().collect()]))
+        one = asked.select("key", "doc", "part", "hot", shard.alias("shard")).groupBy("shard")
+        two = stored.select("key", "doc", "hot", F.col("shard").alias("at")).groupBy("at")
+        return one.cogroup(two).applyInPandas(search_shard, _PAIR)
 
     def accept(self, batch: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         """(id_a, id_b) of the rows of ``batch`` (id, words) near a lower id in it or in the history; then adds the batch.
 
-        Batches come in order of id, as rows arrive.
+        If ids of the batch are below some accepted before, rows accepted before that get a lower id_a are given again.
         """
-        words = batch.select("id", "words").where(F.length("words") > 0)
-        own = _classes(words)
-        before = self._read("classes")
-        if before is not None:
-            # a class that the history has keeps its lowest id; only new classes enter the segment
-            old = before.where("id = cls").select(F.col("cls").alias("old"), "same")
-            own = own.join(old, "same", "left").select("id", F.coalesce("old", "cls").alias("cls"), "same")
-        own = materialize(own, "classes")
-        fresh = words.join(own.where("id = cls").select("id"), "id").dropDuplicates(["id"])
-        earlier = list(self.segments)
-        self._write(0, own, fresh)
-        suffixes = self.spark.read.parquet(f"{self.segments[-1][1]}/suffixes")
-        here = self.spark.read.parquet(f"{self.segments[-1][1]}/words")
-        found = lowest_near(suffixes.where("met").select("key", "doc"), suffixes.where("met").select("key", "doc", "rank"), here, similarity)
-        for _, folder in earlier:
-            there = self.spark.read.parquet(f"{folder}/suffixes")
-            old_words = self.spark.read.parquet(f"{folder}/words")
-            found = found.unionByName(lowest_near(suffixes.select("key", "doc"), there.select("key", "doc", "rank"), here.unionByName(old_words), similarity))
-        found = found.groupBy(F.col("doc").alias("cls")).agg(F.min("old").alias("old"))
-        found.write.option("compression", "zstd").parquet(f"{self.segments[-1][1]}/near")
-        found = self.spark.read.parquet(*[f"{folder}/near" for _, folder in self.segments])  # rows of a known class take over what it met
-        near = own.join(found.groupBy("cls").agg(F.min("old").alias("old")), "cls", "left")
-        near = near.select(F.col("id").alias("id_b"), F.least(F.col("old"), F.when(F.col("id") != F.col("cls"), F.col("cls"))).alias("id_a"))
-        near = materialize(near.where("id_a is not null"), "known")
+        folder = self._folder()
+        words = batch.select("id", "words").where((F.length("words") > 0) & F.col("id").isNotNull())
+        # bodies with the same words are one class, which its lowest id stands for
+        keyed = words.select("id", F.md5("words").alias("same"))
+        members = keyed.join(keyed.groupBy("same").agg(F.min("id").alias("cls")), "same").select("id", "cls").distinct()
+        members = self._put(members, f"{folder}-bodies/members")
+        copies = members.where("id != cls").select("id")
+        bodies = self._put(words.join(copies, "id", "left_anti").dropDuplicates(["id"]), f"{folder}-bodies/words")
+        size = bodies.agg(F.sum(F.length("words")).alias("n"), F.max("id").alias("top"), F.min("id").alias("least")).first()
+        if size.n is None:
+            return members.select(F.col("id").alias("id_a"), F.col("id").alias("id_b")).limit(0)
+        own = {"level": 0, "folder": folder, "shards": self._shards(size.n // 4), "words": size.n // 4, "bodies": [f"{folder}-bodies"]}
+        rows = suffix_rows(bodies)
+        array = self._put(suffix_array(rows, own["shards"], self.hot), f"{folder}/suffixes", "shard")
+        self._mark(array, rows, folder)
+        found = array.where("met and not hot").select("shard", "key", "doc", "part").groupBy("shard").applyInPandas(search_own, _PAIR)
+        for segment in self.segments:
+            found = found.unionByName(self._search(own, segment))
+        found = materialize(found, "found")
+        every = [own, *self.segments]
+        all_words = self.spark.read.schema("id long, words binary").parquet(*[f"{b}/words" for s in every for b in s["bodies"]])
+        pairs = found.where("doc != old").select(F.greatest("doc", "old").alias("doc"), F.least("doc", "old").alias("old"), "long", "short")
+        best = lowest_covered(pairs, all_words, similarity)
+        # bodies with a hot substring, here or in the history
+        hot = self._hot(own).unionByName(found.where("doc = old").select("doc")).distinct()
+        hot = materialize(hot, "hot")
+        if not hot.isEmpty():
+            docs = hot
+            for segment in self.segments:
+                docs = docs.unionByName(self._hot(segment))
+            rare = materialize(rare_sequences(all_words.join(docs.select(F.col("doc").alias("id")).distinct(), "id", "left_semi"), similarity), "rare")
+            late = self.top is not None and size.least < self.top
+            asked = rare if late else rare.join(hot, "doc", "left_semi").select("key", "doc")
+            best = best.unionByName(lowest_near(asked, rare, all_words, similarity))
+        best = materialize(best.groupBy(F.col("doc").alias("cls")).agg(F.min("old").alias("old")), "lowest")
+        if self.top is not None and size.least < self.top:
+            members = self.spark.read.schema("id long, cls long").parquet(*[f"{b}/members" for s in every for b in s["bodies"]])
+        near = members.join(best, "cls", "left")
+        near = near.select(F.least(F.col("old"), F.when(F.col("id") != F.col("cls"), F.col("cls"))).alias("id_a"), F.col("id").alias("id_b"))
+        near = materialize(near.where("id_a is not null").distinct(), "known")
+        self.segments.append(own)
+        self.top = size.top if self.top is None else max(self.top, size.top)
+        self._save([])
         self._merge()
         return near

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quillmesh.llm import history, mixing, names, neighbours, packing, passages, subjects, wrappers
 from quillmesh.session import materialize, table
 
+#: Batches that p1_found delivers the pages in.
+BATCHES = 3
+
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "doc_chunks").select(F.lit("doc_chunks").alias("tab"), F.col("raw_doc_id").alias("id"), F.col("n").cast("int").alias("n"), "embedding")
@@ -16,9 +19,18 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    url = history.known_records(table(spark, d, "seen_urls"), table(spark, d, "url_batches"))
+    """The waiting records, then the pages in BATCHES batches in order of id, against a history that grows with them."""
+    past = history.History(spark)
+    past.seed_urls(table(spark, d, "seen_urls"))
+    url = past.accept_urls(table(spark, d, "url_batches"))
     words = materialize(history.body_words(table(spark, d, "raw_docs")), "words")
-    page = history.History(spark).accept(words)
+    cuts = words.agg(F.percentile_approx("id", [k / BATCHES for k in range(1, BATCHES)]).alias("at")).first().at or []
+    page = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = words.where((F.lit(True) if low is None else F.col("id") > low) & (F.lit(True) if high is None else F.col("id") <= high))
+        now = past.accept(part)
+        page = now if page is None else page.unionByName(now)
+    page = page.groupBy("id_b").agg(F.min("id_a").alias("id_a"))
     url = url.select(F.lit("url").alias("kind"), F.lit(0).cast("long").alias("id_a"), F.col("rec_id").alias("id_b"))
     return url.unionByName(page.select(F.lit("page").alias("kind"), "id_a", "id_b"))
 

@@ -70,19 +70,66 @@ def test_long_lists_are_read_block_by_block(spark):
     rows = [(i, page(100 + i, 80) + " " + quote) for i in range(60)]
     rows.append((90, rows[50][1] + " end"))
     w = table(spark, rows)
-    s = h.suffix_array(w)
-    got = {r.doc: r.old for r in h.lowest_near(s.where("met").select("key", "doc"), s.where("met").select("key", "doc", "rank"), w, block=4).collect()}
+    keys = spark.createDataFrame([(int(k), i) for i, t in rows for k in h.shingles(h.word_numbers(t, {}).tobytes()).view("int64")], "key long, doc long")
+    got = {r.doc: r.old for r in h.lowest_near(keys, keys, w, block=4).collect()}
     assert got == brute(rows)
 
 
+def test_hot_passages_lose_nothing(spark):
+    # with lists of two rows at most, nearly every page goes through the rarest sequences
+    rows = [*pages(), *[(100 + i, page(200 + i, 130) + " " + page(3, 60)) for i in range(12)]]
+    hist, got = h.History(spark, hot=2), {}
+    for lo in range(0, len(rows), 30):
+        got |= {r.id_b: r.id_a for r in hist.accept(table(spark, rows[lo : lo + 30])).collect()}
+    assert got == brute(rows)
+
+
+def test_history_goes_on_in_a_new_process(spark):
+    rows = pages()
+    first = h.History(spark)
+    got = {r.id_b: r.id_a for r in first.accept(table(spark, rows[:20])).collect()}
+    again = h.History(spark, first.path)
+    assert again.segments == first.segments
+    got |= {r.id_b: r.id_a for r in again.accept(table(spark, rows[20:])).collect()}
+    assert got == brute(rows)
+    assert [s["level"] for s in again.segments] == [1]
+
+
+def test_late_rows_correct_earlier_answers(spark):
+    rows = sorted(pages())
+    hist, got = h.History(spark), {}
+    for part in (rows[1::2], rows[0::2]):
+        for r in hist.accept(table(spark, part)).collect():
+            got[r.id_b] = min(r.id_a, got.get(r.id_b, r.id_a))
+    assert got == brute(rows)
+
+
+def test_urls_batch_by_batch(spark):
+    hist = h.History(spark)
+    hist.seed_urls(spark.createDataFrame([("https://A.example/x/",), (None,)], "canonical_url string"))
+    one = spark.createDataFrame([(1, "https://a.example/x#f"), (2, "https://a.example/y"), (3, None)], "rec_id long, url string")
+    two = spark.createDataFrame([(4, "https://a.example/y?ref=1"), (5, "https://a.example/z")], "rec_id long, url string")
+    assert [r.rec_id for r in hist.accept_urls(one).collect()] == [1]
+    assert [r.rec_id for r in h.History(spark, hist.path).accept_urls(two).collect()] == [4]
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.integers(19, 60), st.integers(0, 50), st.integers(0, 50), st.integers(0, 9))
-def test_any_run_of_19_words_shares_a_suffix(n, before, after, seed):
+@given(st.integers(16, 60), st.integers(0, 50), st.integers(0, 50), st.integers(0, 9))
+def test_any_run_of_16_words_shares_a_suffix(n, before, after, seed):
     cache = {}
     run = page(seed, n)
-    a, b = page(seed + 20, before + 30) + " " + run, run + " " + page(seed + 40, after + 30)
-    keys = [set(h.sampled_suffixes(h.word_numbers(t, cache)).tolist()) for t in (a, b)]
-    assert keys[0] & keys[1]
+    a, b = page(seed + 20, before + 90) + " " + run, run + " " + page(seed + 40, after + 90)
+    key, doc, _ = h.suffixes([h.word_numbers(t, cache) for t in (a, b)])
+    assert set(key[(doc == 0) & (key > 0)]) & set(key[(doc == 1) & (key > 0)])
+
+
+def test_keys_keep_the_order_of_suffixes():
+    w = h.word_numbers(page(5, 300), {})
+    key, _, _ = h.suffixes([w])
+    small = [tuple(int(x) >> 25 for x in w[i : i + h.DEPTH]) for i in range(len(w) - h.DEPTH + 1)]
+    by_key = {sum(x << (7 * (h.DEPTH - 1 - k)) for k, x in enumerate(t)): t for t in small}
+    met = [by_key[k] for k in sorted(key.tolist())]
+    assert met == sorted(met)
 
 
 def test_known_records(spark):
@@ -94,4 +141,4 @@ def test_known_records(spark):
 
 @pytest.mark.parametrize("text", ["", "!!", "x"])
 def test_short_bodies(text):
-    assert len(h.sampled_suffixes(h.word_numbers(text, {}))) == 0
+    assert len(h.suffixes([h.word_numbers(text, {})])[0]) == len(text.strip("!"))

@@ -1,8 +1,11 @@
 """Problem 3: cutting long pages into passages, and auditing stored ones.
 
-The text is parsed into a tree: sections under headings, paragraphs, lines, sentences, words. Siblings are merged
-bottom-up while they fit, and only a node that is too large by itself is opened. Every piece but the first repeats the
-end of the piece before, from 80 to 400 characters, starting at a natural boundary where there is one.
+The text is parsed into a tree: sections under headings; in them lists, tables, code blocks and paragraphs; in these the
+items, rows and lines; then sentences, clauses and words. Sibling subtrees are merged bottom-up while they fit, and only
+a node that is too large by itself is opened, so a section that fits is never torn apart for its neighbour's sake. A
+piece too small to stand alone shares the room of the next, and an end inside a sentence moves back to a closed one where
+there is one. Every piece but the first repeats the end of the piece before, from 80 to 400 characters, starting at a
+natural boundary where there is one.
 
 Defined cases: null and short texts give no pieces; CRLF and repeated rows are kept as they are; a text without any
 boundary is cut at the limit; rows whose key is null are no passages; other columns are not read.
@@ -10,6 +13,7 @@ boundary is cut at the limit; rows whose key is null are no passages; other colu
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -19,41 +23,104 @@ from pyspark.sql import functions as F
 
 LIMIT, LEAST, MOST = 2500, 80, 400
 
-_HEADING = re.compile(r"^(#{1,6})\s", re.M)
+_HEADING = re.compile(r"(#{1,6})\s")
+_ITEM = re.compile(r"([ \t]*)(?:[*+-]|\d+[.)])\s")
+_FENCE = re.compile(r"\s*(```|~~~)")
 #: From coarse to fine: blank lines, line ends, sentence ends, clause ends, blanks.
 _LEVELS = [re.compile(r"\n[ \t\r]*\n\s*"), re.compile(r"\n"), re.compile(r"(?<=[.!?…。！？])[\"”’»)\]]*\s+"), re.compile(r"(?<=[,;:])\s+"), re.compile(r"\s+")]
+_OPEN = re.compile(r"[\w,]")
+#: The part of the limit below which a piece doesn't stand alone.
+SMALL = 8
+
+
+class Tree:
+    """A text as nested spans: (start, end, level) with the level that its parts are looked for from.
+
+    Levels 0 to 5 are headings by depth, 6 blocks, 7 items of a list, 8 lines, then sentences, clauses and words.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.headings: list[tuple[int, int]] = []  # (place, depth)
+        self.blocks: list[int] = []
+        self.items: list[int] = []
+        at, fence, kind, indent = 0, "", "", 0
+        for line in text.splitlines(keepends=True) if "\x0b" not in text and "\x0c" not in text else re.findall(r"[^\n]*\n|[^\n]+", text):
+            before = kind
+            mark = _FENCE.match(line)
+            item = _ITEM.match(line)
+            heading = _HEADING.match(line)
+            if fence:
+                fence = "" if mark and mark.group(1) == fence else fence
+            elif mark:
+                fence, kind = mark.group(1), "code"
+            elif not line.strip():
+                kind = "" if kind != "list" else kind
+            elif heading:
+                self.headings.append((at, len(heading.group(1))))
+                kind = "heading"
+            elif item:
+                if kind != "list":
+                    kind, indent = "list", len(item.group(1))
+                if len(item.group(1)) <= indent:
+                    self.items.append(at)
+            elif line.lstrip()[0] == "|":
+                kind = "table"
+            elif kind != "list" or not line[0].isspace():  # an indented line goes on with its item
+                kind = "text"
+            opens = kind in ("code", "heading") and (heading is not None or (mark is not None and fence != ""))
+            if line.strip() and (before != kind or opens) and not (fence and mark is None):
+                self.blocks.append(at)
+            if before == "code" and not fence and not mark:
+                self.blocks.append(at)
+            at += len(line)
+
+    def _cut(self, start: int, end: int, places: list[int]) -> list[tuple[int, int]]:
+        edges = [start, *places[bisect.bisect_right(places, start) : bisect.bisect_left(places, end)], end]
+        return list(zip(edges, edges[1:]))
+
+    def parts(self, start: int, end: int, level: int) -> list[tuple[int, int, int]]:
+        """The parts of a span at the first level from ``level`` on that has more than one."""
+        while level < 12:
+            if level < 6:
+                spans = self._cut(start, end, [p for p, depth in self.headings if depth <= level + 1])
+            elif level < 8:
+                spans = self._cut(start, end, self.blocks if level == 6 else self.items)
+            else:
+                spans = self._cut(start, end, [m.end() for m in _LEVELS[level - 7].finditer(self.text, start, end)])
+            level += 1
+            if len(spans) > 1:
+                return [(a, b, level) for a, b in spans]
+        return []
 
-
-class Node:
-    """A span of the text and the spans it is made of."""
-
-    __slots__ = ("start", "end", "level")
-
-    def __init__(self, start: int, end: int, level: int):
-        self.start, self.end, self.level = start, end, level
-
-
-def _sections(text: str, start: int, end: int, depth: int) -> list[tuple[int, int]]:
-    """The span cut before each heading of exactly this depth or higher."""
-    cuts = [m.start() for m in _HEADING.finditer(text, start, end) if len(m.group(1)) <= depth and m.start() > start]
-    edges = [start, *cuts, end]
-    return list(zip(edges, edges[1:]))
-
-
-def children(text: str, node: Node) -> list[Node]:
-    """The next finer parts of a node: by heading depth first, then by the boundaries in order; at last single characters' runs."""
-    level = node.level
-    while level < 6 + len(_LEVELS):
-        if level < 6:
-            spans = _sections(text, node.start, node.end, level + 1)
-        else:
-            cuts = [m.end() for m in _LEVELS[level - 6].finditer(text, node.start, node.end)]
-            edges = [node.start, *[c for c in cuts if node.start < c < node.end], node.end]
-            spans = list(zip(edges, edges[1:]))
-        level += 1
-        if len(spans) > 1:
-            return [Node(a, b, level) for a, b in spans]
-    return []
+    def merged(self, start: int, end: int, level: int, limit: int) -> list[tuple[int, int]]:
+        """The span in pieces of at most ``limit``: those of its parts, neighbours merged while they fit."""
+        if end - start <= limit:
+            return [(start, end)]
+        parts = self.parts(start, end, level)
+        if not parts:
+            return [(a, min(a + limit, end)) for a in range(start, end, limit)]
+        out: list[tuple[int, int]] = []
+        for a, b, below in parts:
+            for piece in self.merged(a, b, below, limit):
+                if out and piece[1] - out[-1][0] <= limit:
+                    out[-1] = (out[-1][0], piece[1])
+                else:
+                    out.append(piece)
+        return out
+
+    def closed(self, at: int) -> bool:
+        """Whether the text before a place, blanks aside, doesn't end in a letter, a digit or a comma."""
+        before = self.text[max(0, at - 64) : at].rstrip()
+        return not before or not _OPEN.match(before[-1])
+
+    def boundary(self, low: int, high: int, aim: int, closed: bool) -> int | None:
+        """The boundary of the coarsest kind from ``low`` to ``high`` that is nearest to ``aim``."""
+        for rule in _LEVELS:
+            found = [m.end() for m in rule.finditer(self.text, max(0, low - 8), min(len(self.text), high + 8)) if low <= m.end() <= high and (not closed or self.closed(m.end()))]
+            if found:
+                return min(found, key=lambda x: abs(x - aim))
+        return None
 
 
 def _overlap_start(text: str, begin: int, end: int, least: int, most: int) -> int:
@@ -73,38 +140,34 @@ def split_text(text: str, limit: int = LIMIT, least: int = LEAST, most: int = MO
     if not text or len(text) <= limit:
         return []
     assert limit > most >= least >= 0
+    tree = Tree(text)
+    room = limit - least  # what a piece may add to what it repeats
+    small = max(least + 1, limit // SMALL)
+    cores = tree.merged(0, len(text), 0, room)
+    ends = [b for _, b in cores]
+    k = 0
+    while k < len(ends) - 1:
+        start, last = ends[k - 1] if k else 0, ends[k + 1]
+        low, high = max(start + small, last - room), min(start + room, last - small)
+        if ends[k] - start < small or (k == len(ends) - 2 and last - ends[k] < small):
+            if last - start <= room:
+                del ends[k]
+                continue
+            if low <= high:
+                middle = (start + last) // 2
+                at = tree.boundary(low, high, middle, True) or tree.boundary(low, high, middle, False)
+                ends[k] = at if at else min(max(middle, low), high)
+        elif not tree.closed(ends[k]):
+            at = tree.boundary(low, min(high, ends[k]), ends[k], True)
+            ends[k] = at if at else ends[k]
+        k += 1
     pieces: list[tuple[int, int]] = []
-    begin = end = 0  # the open piece
-
-    def close() -> None:
-        nonlocal begin
-        pieces.append((begin, end))
-        begin = _overlap_start(text, begin, end, least, most)
-
-    stack = [Node(0, len(text), 0)]
-    while stack:
-        node = stack.pop()
-        if node.end - begin <= limit:
-            end = node.end
-            continue
-        fresh = end - (pieces[-1][1] if pieces else 0)
-        parts = children(text, node)
-        # a node that fits into a piece of its own stays whole, unless the open piece would be left nearly empty
-        if fresh >= limit // 4 and (node.end - end) <= limit - most:
-            close()
-            stack.append(node)
-        elif parts:
-            stack.extend(reversed(parts))
-        elif fresh >= limit // 4:
-            close()
-            stack.append(node)
+    for k, end in enumerate(ends):
+        if not k:
+            pieces.append((0, end))
         else:
-            # no boundary in reach and the open piece nearly empty: cut at the limit
-            end = begin + limit
-            close()
-            stack.append(Node(end, node.end, node.level))
-    if not pieces or end > pieces[-1][1]:
-        pieces.append((begin, end))
+            begin = _overlap_start(text, pieces[-1][0], ends[k - 1], least, min(most, limit - (end - ends[k - 1])))
+            pieces.append((begin, end))
     return pieces
 
 
@@ -159,6 +222,6 @@ def audit_passages(docs: DataFrame, stored: DataFrame, limit: int = LIMIT, least
     met = s.where("n > 1").join(before, ["raw_doc_id", "n"]).withColumn("shared", overlap("before", "text"))
     joined = met.where((F.col("shared") < least) | (F.col("shared") > most)).select("raw_doc_id", "n")
     holes = top.where("top >= 1").select("raw_doc_id", F.explode(F.sequence(F.lit(1), "top")).alias("n")).join(numbers, ["raw_doc_id", "n"], "left_anti")
-    # a page needs passages when the splitter cuts it, that is when it is beyond the limit
-    bare = docs.where((F.length("markdown") > limit) & F.col("id").isNotNull()).select(F.col("id").alias("raw_doc_id"), F.lit(0).alias("n")).join(top, "raw_doc_id", "left_anti")
-    return too_long.union(open_end).union(joined).union(holes).union(bare.select("raw_doc_id", "n")).distinct()
+    # a page needs passages if the splitter cuts it; only pages without any are split
+    bare = split_documents(docs.join(top.select(F.col("raw_doc_id").alias("id")), "id", "left_anti"), limit, least, most).where("n = 1").select("raw_doc_id", F.lit(0).alias("n"))
+    return too_long.union(open_end).union(joined).union(holes).union(bare).distinct()

@@ -58,3 +58,25 @@ def test_audit(spark):
     assert p.audit_passages(docs.limit(0), stored.limit(0)).count() == 0
     pieces = p.split_documents(docs).collect()
     assert {r.raw_doc_id for r in pieces} == {1, 8} and max(len(r.text) for r in pieces) <= 2500
+
+
+def test_siblings_are_merged_before_they_are_opened():
+    a, b, b1 = "# A\n\n" + "Aa bb cc. " * 105 + "\n\n", "# B\n\n" + "Bb cc dd. " * 139 + "\n\n", "## B1\n\n" + "Cc dd ee. " * 84
+    text = a + b + b1
+    assert [text[e:][:5] for _, e in p.split_text(text)] == ["# B\n\n", ""]
+
+
+def test_code_lists_and_tables_are_nodes():
+    code = "```\n" + "# no heading, but a remark\nx = 1\n" * 30 + "```\n"
+    text = "# Title\n\n" + "Some words stand here. " * 60 + "\n\n" + code + "\n" + "* an item of it\n  and its second line\n" * 30 + "\n| a | b |\n" * 1
+    tree = p.Tree(text)
+    assert tree.headings == [(0, 1)] and len(tree.items) == 30
+    at = text.index("```")
+    ends = [e for _, e in p.split_text(text)]
+    assert not any(at < e < at + len(code) for e in ends)
+
+
+def test_small_heads_do_not_stand_alone():
+    text = "# A head\n\n" + "| cell | cell |\n" * 400
+    check(text, p.split_text(text), 2500, 80, 400)
+    assert all(b - a > 300 for a, b in p.split_text(text))

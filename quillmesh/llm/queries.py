@@ -81,6 +81,10 @@ def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.documents(p7_mixed(spark, d))
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
     return mixing.shares(materialize(mixing.mix(table(spark, d, "documents"), targets), "mixed"), targets)
@@ -95,7 +99,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_bodies, p3_found, p3_split, p4_found, p5_found, p5_nearest, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_bodies, p3_found, p3_split, p4_found, p5_found, p5_nearest, p6_packed, p6_fill, p7_mixed, p7_documents, p7_shares, p8_found, p8_composition)}
 
 
 _BLANKS = "' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12) || chr(160) || chr(8232) || chr(8233) || chr(12288)"

@@ -4,7 +4,7 @@ URLs: the first record of each canonical form and the forms seen before are foun
 Canonical forms are stored once, so a later batch doesn't canonicalize the past again.
 
 Pages: the words of a batch's main bodies are laid end to end, and the suffixes that begin at a minimizer (any run of 16
-words holds one) are put in order of their first nine words, each word by its 7-bit number: the batch's suffix array.
+words holds one) are put in order of their first twelve words, each word by its 5-bit number: the batch's suffix array.
 It is kept in shards by a hash of these words, each shard in suffix order, and never changed. A search takes the batch's
 substrings shard by shard to the stored arrays, finds the stretch of suffixes that begin with each by binary search, and
 adds up, over the substrings met, how much of the record each earlier one covers. What is covered enough is compared by
@@ -12,8 +12,10 @@ the exact Jaccard similarity of five-word sequences, the lowest strongly covered
 have all their five-word suffixes in the array. Arrays of one level are merged pairwise, so n batches leave at most
 log2(n) + 1 to search; a manifest in the history's folder lists them, and merged ones are deleted.
 
-Hot passages: a substring in more than HOT bodies of an array is kept as a mark only, so no list is longer than that. The
-bodies that have it are compared among themselves through the rarest two fifths of their five-word sequences: two sets
+Hot passages: a substring in more than HOT bodies of an array is kept as a mark only, so no list is longer than that, and
+how much of a body is hot is kept beside it. Two near bodies share six tenths of their five-word sequences, so a short
+body whose hot ones are fewer still meets its like on the others, with as much less to be covered. Bodies with more of
+them, or with a long hot suffix, are compared among themselves through the rarest two fifths of their five-word sequences: two sets
 of similarity 0.6 must share one of these (prefix filtering). Their lists are read from the lowest id up in blocks, and
 a record stops as soon as nothing lower can be left.
 
@@ -43,13 +45,15 @@ from quillmesh.session import materialize, shared_dir
 SHINGLE = 5
 SIMILARITY = 0.6
 #: Words of a suffix that its key holds, and suffixes among which one is kept.
-DEPTH, WINDOW = 9, 8
+DEPTH, WINDOW = 12, 5
 #: Bodies below SHORT words can be near others without a common run of 16; those below SHORT / 0.6 have all five-word suffixes.
 SHORT = 90
 #: Shares of a record, in ten thousandths: what long matches must cover of it, and from where on it is compared first.
 COVER, STRONG = 400, 5000
-#: Most suffixes with one key that an array lists.
+#: Most suffixes with one key that an array lists: twelve words that more bodies share are a passage that is passed around.
 HOT = 64
+#: Share of a body's five-word sequences, in ten thousandths, from which on they are too hot to meet its like on the others.
+HOT_SHARE = 5500
 #: Suffixes in a shard at most, on average.
 SHARD_ROWS = 500_000
 BLOCK = 16
@@ -130,7 +134,7 @@ def suffixes(bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
             low[less], where[less] = other[less], at[less] + k
         kept = np.unique(where[long & (at + WINDOW - 1 + DEPTH <= end)])
         span = np.minimum(np.diff(np.append(kept, len(owner) + DEPTH)), end[kept] - kept)
-        keys.append(_leading(words, kept, DEPTH, 7))
+        keys.append(_leading(words, kept, DEPTH, 5))
         docs.append(owner[kept])
         parts.append(-(-10_000 * span // size[owner[kept]]))
     dense = np.nonzero((size[owner] < SHORT / SIMILARITY) & (at + SHINGLE <= end))[0]
@@ -235,10 +239,14 @@ def _frame(parts: list[pd.DataFrame]) -> pd.DataFrame:
 
 
 def search_shard(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-    """Records of ``stored`` that those of ``asked`` have substrings in common with, and what these cover; a record with a hot one is given alone."""
+    """Records of ``stored`` that those of ``asked`` have substrings in common with, and what these cover.
+
+    A substring that is hot on the other side is given as a pair of its record with itself, and counts as hot there.
+    """
     out: list[pd.DataFrame] = []
     stored = stored.sort_values(["key", "doc"])
     keys, olds, marks = stored["key"].to_numpy(), stored["doc"].to_numpy(), stored["hot"].to_numpy().astype(bool)
+    weight = stored["part"].to_numpy().astype(np.int64)
     for begin in range(0, len(asked) if len(keys) else 0, _SPLIT):
         a = asked.iloc[begin : begin + _SPLIT]
         key, doc, part, mark = (a[c].to_numpy() for c in ("key", "doc", "part", "hot"))
@@ -250,9 +258,9 @@ def search_shard(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         plain = ~mine & ~theirs & (doc[i] != olds[j])
         if plain.any():
             out.append(_pairs(doc[i][plain], olds[j][plain], part[i][plain].astype(np.int64), key[i][plain] < 0))
-        lone = np.unique(np.concatenate([doc[i][~mine & theirs], olds[j][mine & ~theirs]]))
-        if len(lone):
-            out.append(pd.DataFrame({"doc": lone, "old": lone, "long": 0, "short": 0}))
+        for which, who, share in ((~mine & theirs, doc[i], part[i].astype(np.int64)), (mine & ~theirs, olds[j], weight[j])):
+            if which.any():
+                out.append(_pairs(who[which], who[which], share[which], key[i][which] < 0))
     return _frame(out)
 
 
@@ -284,13 +292,14 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
     return pairs.join(two, "old").join(one, "doc").where(near("wa", "wb")).groupBy("doc").agg(F.min("old").alias("old"))
 
 
-def lowest_covered(found: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc, old): the lowest near-duplicate below each doc of (doc, old, long, short), old < doc.
+def lowest_covered(found: DataFrame, words: DataFrame, hot: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc, old): the lowest near-duplicate below each doc of (doc, old, long, short), old < doc; hot (doc, warm) takes that much off what must be covered.
 
     Candidates up to the lowest one that is strongly covered are compared first; the rest only where none of these is near.
     """
     covered = found.groupBy("doc", "old").agg(F.sum("long").alias("long"), F.sum("short").alias("short"))
-    covered = covered.where((F.col("long") >= COVER) | (F.col("short") >= 9_999 * similarity))
+    covered = covered.join(hot.select("doc", "warm"), "doc", "left")
+    covered = covered.where((F.col("long") >= COVER) | (F.col("short") >= F.greatest(F.lit(1.0), 9_999 * similarity - F.coalesce("warm", F.lit(0)))))
     sure = F.when(F.greatest("long", "short") >= STRONG, F.col("old"))
     covered = materialize(covered.select("doc", "old", F.min(sure).over(Window.partitionBy("doc")).alias("sure")), "covered")
     best = materialize(_verified(covered.where("sure is null or old <= sure").select("doc", "old"), words, similarity), "best")
@@ -392,7 +401,7 @@ class History:
         return self.spark.read.schema("key long, doc long, part int, hot boolean, met boolean, shard int").parquet(f"{segment['folder']}/suffixes")
 
     def _hot(self, segment: dict) -> DataFrame:
-        return self.spark.read.schema("doc long").parquet(f"{segment['folder']}/hot")
+        return self.spark.read.schema("doc long, long long, short long").parquet(f"{segment['folder']}/hot")
 
     def accept_urls(self, batch: DataFrame) -> DataFrame:
         """rec_id of the records of ``batch`` (rec_id, url) whose canonical URL is stored or on a lower rec_id; then stores their forms."""
@@ -416,12 +425,13 @@ class History:
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-words // (4 * SHARD_ROWS)))
 
     def _mark(self, array: DataFrame, rows: DataFrame, folder: str, *more: DataFrame) -> None:
-        """Stores which bodies have a hot substring."""
-        marks = array.where("hot").select("key")
-        docs = rows.join(marks, "key", "left_semi").select("doc")
+        """Stores how much of each body is hot: (doc, long, short)."""
+        few = F.col("key") < 0
+        shares = [F.when(few, 0).otherwise(F.col("part")).cast("long").alias("long"), F.when(few, F.col("part")).otherwise(0).cast("long").alias("short")]
+        marked = rows.join(array.where("hot").select("key"), "key", "left_semi").select("doc", *shares)
         for m in more:
-            docs = docs.unionByName(m)
-        self._put(docs.distinct(), f"{folder}/hot")
+            marked = marked.unionByName(m)
+        self._put(marked.groupBy("doc").agg(F.sum("long").alias("long"), F.sum("short").alias("short")), f"{folder}/hot")
 
     def _merge(self) -> None:
         while len(self.segments) > 1 and self.segments[-1]["level"] == self.segments[-2]["level"]:
@@ -430,7 +440,7 @@ class History:
             shards = max(a["shards"], b["shards"], self._shards(a["words"] + b["words"]))
             rows = self._array(a).unionByName(self._array(b))
             array = self._put(suffix_array(rows, shards, self.hot), f"{folder}/suffixes", "shard")
-            self._mark(array, rows, folder, self._hot(a), self._hot(b))
+            self._mark(array, rows.where("not hot"), folder, self._hot(a), self._hot(b))
             self.segments[-2:] = [{"level": a["level"] + 1, "folder": folder, "shards": shards, "words": a["words"] + b["words"], "bodies": a["bodies"] + b["bodies"]}]
             self._save([a["folder"], b["folder"]])
 
@@ -440,7 +450,7 @@ class History:
         if segment["shards"] > own["shards"]:  # a small batch reads the shards it touches only; at most one number a shard
             stored = stored.where(F.col("shard").isin([r.shard for r in asked.select(shard.alias("shard")).distinct().collect()]))
         one = asked.select("key", "doc", "part", "hot", shard.alias("shard")).groupBy("shard")
-        two = stored.select("key", "doc", "hot", F.col("shard").alias("at")).groupBy("at")
+        two = stored.select("key", "doc", "part", "hot", F.col("shard").alias("at")).groupBy("at")
         return one.cogroup(two).applyInPandas(search_shard, _PAIR)
 
     def accept(self, batch: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -469,21 +479,21 @@ class History:
         found = materialize(found, "found")
         every = [own, *self.segments]
         all_words = self.spark.read.schema("id long, words binary").parquet(*[f"{b}/words" for s in every for b in s["bodies"]])
-        pairs = found.where("doc != old").select(F.greatest("doc", "old").alias("doc"), F.least("doc", "old").alias("old"), "long", "short")
-        best = lowest_covered(pairs, all_words, similarity)
-        # bodies with a hot substring, here or in the history
-        hot = self._hot(own).unionByName(found.where("doc = old").select("doc")).distinct()
+        late = self.top is not None and size.least < self.top
+        hot = self._hot(own).unionByName(found.where("doc = old").select("doc", "long", "short"))
+        for segment in self.segments:
+            hot = hot.unionByName(self._hot(segment))
+        hot = hot.groupBy("doc").agg((F.sum("long") > 0).alias("long"), F.sum("short").alias("warm"))
         hot = materialize(hot, "hot")
-        if not hot.isEmpty():
-            docs = hot
-            for segment in self.segments:
-                docs = docs.unionByName(self._hot(segment))
-            rare = materialize(rare_sequences(all_words.join(docs.select(F.col("doc").alias("id")).distinct(), "id", "left_semi"), similarity), "rare")
-            late = self.top is not None and size.least < self.top
-            asked = rare if late else rare.join(hot, "doc", "left_semi").select("key", "doc")
-            best = best.unionByName(lowest_near(asked, rare, all_words, similarity))
+        pairs = found.where("doc != old").select(F.greatest("doc", "old").alias("doc"), F.least("doc", "old").alias("old"), "long", "short")
+        best = lowest_covered(pairs, all_words, hot, similarity)
+        docs = hot.where(F.col("long") | (F.col("warm") >= HOT_SHARE)).select("doc")
+        fresh = docs if late else docs.join(bodies.select(F.col("id").alias("doc")), "doc", "left_semi")
+        if not fresh.isEmpty():
+            rare = materialize(rare_sequences(all_words.join(docs.select(F.col("doc").alias("id")), "id", "left_semi"), similarity), "rare")
+            best = best.unionByName(lowest_near(rare.join(fresh, "doc", "left_semi").select("key", "doc"), rare, all_words, similarity))
         best = materialize(best.groupBy(F.col("doc").alias("cls")).agg(F.min("old").alias("old")), "lowest")
-        if self.top is not None and size.least < self.top:
+        if late:
             members = self.spark.read.schema("id long, cls long").parquet(*[f"{b}/members" for s in every for b in s["bodies"]])
         near = members.join(best, "cls", "left")
         near = near.select(F.least(F.col("old"), F.when(F.col("id") != F.col("cls"), F.col("cls"))).alias("id_a"), F.col("id").alias("id_b"))

@@ -16,6 +16,15 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+def width(d: int) -> int:
+    """The power of two that vectors of length d are padded to; 2 at least."""
+    return max(2, 1 << (d - 1).bit_length())
+
+
+def padded(x: np.ndarray) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, width(x.shape[1]) - x.shape[1])))
+
+
 def rotations(d: int, count: int, seed: int) -> np.ndarray:
     """Random signs (count, 3, d) for ``count`` pseudo-rotations of three sign flips and transforms each."""
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], dtype=np.float32), size=(count, 3, d))

@@ -3,7 +3,10 @@
 Unit vectors are hashed to the nearest signed axis after fast Hadamard pseudo-rotations. Rows are stored under their
 own bucket in each table and look themselves up in the nearest other buckets too (multiprobe); what meets is reranked
 with exact cosines. Vectors of one direction form a class with one representative, so groups of copies cost nothing.
-Buckets beyond ``bucket_cap`` are compared in blocks with matrix products instead of pair rows: nothing is left out.
+Before that, pairs are dropped whose sign sketches differ in more bits than a pair at the least similarity would by
+SIGMAS standard deviations, which loses one in a billion of such pairs; hot buckets are judged alike. Buckets beyond
+``bucket_cap`` are compared in blocks with matrix products instead of pair rows: nothing is left out.
+Vectors may have any length, given as ``dim``: they are padded with zeros to a power of two for the transform.
 
 Defined cases: a vector that is null, of another length, all zero or not finite takes no part; a key delivered twice
 counts once; equal similarities rank by key; an empty table gives no rows; other columns
@@ -12,6 +15,7 @@ of the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +29,20 @@ from quillmesh.session import materialize
 DIM = 64
 TABLES = 10
 SEED = 20_240_501
-HAMMING = 36  # of 128 bits; a cosine of 0.9 has 18.4 differing bits on average, deviation 4.0
+#: Bits of a sketch, and how far above its mean a pair's number of differing bits may be.
+BITS, SIGMAS = 128, 6.0
 BUCKET_CAP = 2048
 
 
+def most_bits(least: float) -> int:
+    """The differing sketch bits up to which a pair may have a cosine of ``least``: each differs with chance arccos(least) / pi."""
+    p = math.acos(max(-1.0, min(1.0, least))) / math.pi
+    return min(BITS, math.ceil(BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p))))
+
+
 def _hashed(tables: int, dim: int):
-    signs = crosspoly.rotations(dim, 2 * tables, SEED)
+    wide = crosspoly.width(dim)
+    signs = crosspoly.rotations(wide, 2 * tables, SEED)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -49,12 +61,12 @@ def _hashed(tables: int, dim: int):
             u = x / norm[good][:, None]
             raw32 = x.astype(np.float32)
             bits = crosspoly.sketch(u.astype(np.float32), SEED)
-            unit = u.astype(np.float32)
+            unit = crosspoly.padded(u.astype(np.float32))
             main, probes = [], []
             for t in range(tables):
                 a = crosspoly.nearest_axes(crosspoly.rotate(unit, signs[2 * t]), 2).astype(np.int64)
                 b = crosspoly.nearest_axes(crosspoly.rotate(unit, signs[2 * t + 1]), 2).astype(np.int64)
-                w = 2 * dim
+                w = 2 * wide
                 base = t * w * w
                 main.append(base + a[:, 0] * w + b[:, 0])
                 probes += [base + a[:, 1] * w + b[:, 0], base + a[:, 0] * w + b[:, 1]]
@@ -67,7 +79,7 @@ def _hashed(tables: int, dim: int):
                     "vec": [r.tobytes() for r in raw32],
                     "bits0": bits[:, 0],
                     "bits1": bits[:, 1],
-                    "main": list(np.stack(main, axis=1).astype(np.int32)),
+                    "main": list(np.stack(main, axis=1).astype(np.int32)),  # numbers past 32 bits wrap: two buckets as one lose nothing
                     "probes": list(np.stack(probes, axis=1).astype(np.int32)),
                 }
             )
@@ -97,6 +109,8 @@ def _cosines(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _blocks(least: float):
+    most = most_bits(least)
+
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
@@ -107,7 +121,8 @@ def _blocks(least: float):
                 x = units(part["vec"])
                 i, j = np.nonzero(x @ y.T >= least)
                 a, b = part["cls"].to_numpy()[i], ids[j]
-                keep = a != b
+                bits = sum(np.bitwise_count((part[c].to_numpy()[i] ^ right[c].to_numpy()[j]).view(np.uint64)).astype(int) for c in ("bits0", "bits1"))
+                keep = (a != b) & (bits <= most)
                 out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}))
         return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": np.array([], "int64"), "b": np.array([], "int64")})
 
@@ -127,30 +142,30 @@ def close_pairs(reps: DataFrame, vecs: DataFrame, least: float, bucket_cap: int
     hot = not big.isEmpty()
     s = slim.join(big, "bucket", "left_anti") if hot else slim
     differ = lambda c: F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"s.{c}")))
-    near = differ("bits0") + differ("bits1") <= HAMMING
+    near = differ("bits0") + differ("bits1") <= most_bits(least)
     on = (F.col("l.bucket") == F.col("s.bucket")) & (F.col("l.cls") != F.col("s.cls")) & near
     pairs = look.alias("l").join(s.alias("s"), on).select(F.least("l.cls", "s.cls").alias("a"), F.greatest("l.cls", "s.cls").alias("b"))
     if hot:
         # the same lookups as blocks: stored rows in numbered blocks, each looked-up row sent to every block of its bucket
         vecs = materialize(vecs, "vecs")
-        stored = slim.select("cls", "bucket").join(big, "bucket", "left_semi").join(vecs, "cls")
+        stored = slim.select("cls", "bucket", "bits0", "bits1").join(big, "bucket", "left_semi").join(vecs, "cls")
         n = materialize(stored.groupBy("bucket").agg(F.ceil(F.count("*") / bucket_cap).cast("int").alias("blocks")), "blocks")
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        asked = look.select("cls", "bucket").distinct().join(n, "bucket").join(vecs, "cls")
+        asked = look.select("cls", "bucket", "bits0", "bits1").distinct().join(n, "bucket").join(vecs, "cls")
         asked = asked.withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")).withColumn("block", every)
         stored = stored.join(n, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("part", every)
         by = ["bucket", "block", "part"]
         # new names for the columns both sides take from the same tables
-        asked = asked.select(*[F.col(c).alias(c) for c in (*by, "cls", "vec")])
+        asked = asked.select(*[F.col(c).alias(c) for c in (*by, "cls", "vec", "bits0", "bits1")])
         pairs = pairs.unionByName(asked.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(_blocks(least), "a long, b long"))
     cosine = F.pandas_udf(_cosines, "double")
     full = pairs.distinct().join(vecs.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a").join(vecs.select(F.col("cls").alias("b"), F.col("vec").alias("vb")), "b")
     return full.select("a", "b", cosine("va", "vb").alias("sim")).where(F.col("sim") >= least)
 
 
-def neighbours_within(vectors: DataFrame, least: float, k: int = 10, bucket_cap: int = BUCKET_CAP) -> DataFrame:
+def neighbours_within(vectors: DataFrame, least: float, k: int = 10, bucket_cap: int = BUCKET_CAP, dim: int = DIM) -> DataFrame:
     """Directed (tab, id, n, id_b, n_b, sim): of each usable row its at most k most similar others with ``sim >= least``."""
-    rows = materialize(usable(vectors), "vectors")
+    rows = materialize(usable(vectors, dim=dim), "vectors")
     keyed = rows.select("cls", F.struct("id", "n").alias("key")).distinct()
     size = keyed.groupBy("cls").agg(F.count("*").alias("size"), F.min("key").alias("key"))
     # one row a class: that of its lowest key, which may have been delivered twice
@@ -209,14 +224,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 4
     One signed axis is a bucket; each query looks into its ``probes`` nearest axes in every table. Buckets are cut into
     blocks of about ``block`` rows, and every block gives each query its k best, so no task holds a whole bucket.
     """
-    signs = crosspoly.rotations(dim, tables, SEED + 1)
+    wide = crosspoly.width(dim)
+    signs = crosspoly.rotations(wide, tables, SEED + 1)
 
     def hashed(many: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                u = units(pdf["vec"]).astype(np.float32) if len(pdf) else np.zeros((0, dim), np.float32)
+                u = crosspoly.padded(units(pdf["vec"]).astype(np.float32)) if len(pdf) else np.zeros((0, wide), np.float32)
                 if len(u):
-                    axes = np.stack([t * 2 * dim + crosspoly.nearest_axes(crosspoly.rotate(u, signs[t]), many) for t in range(tables)], axis=1).reshape(len(u), -1)
+                    axes = np.stack([t * 2 * wide + crosspoly.nearest_axes(crosspoly.rotate(u, signs[t]), min(many, 2 * wide)) for t in range(tables)], axis=1).reshape(len(u), -1)
                     yield pd.DataFrame({"tab": pdf["tab"], "id": pdf["id"], "n": pdf["n"], "vec": pdf["vec"], "bucket": list(axes.astype(np.int32))})
 
         return run

@@ -69,3 +69,18 @@ def test_recall_of_all_ten(spark):
     got = pairs(neighbours.nearest(df, df.where("id % 100 = 0"), block=300))
     want = {p for p in brute(rows, -2) if p[0][0] % 100 == 0}
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_other_lengths(spark):
+    rng = np.random.default_rng(8)
+    for dim in (3, 96):
+        rows = [("t", i, 1, rng.standard_normal(dim) * 0.02 + np.eye(dim)[i % 3]) for i in range(60)]
+        got = pairs(neighbours.neighbours_within(frame(spark, rows), 0.9, k=60, dim=dim))
+        want = brute(rows, 0.9, 60)
+        assert got <= want and len(got) >= 0.9 * len(want)
+        assert pairs(neighbours.nearest(frame(spark, rows), frame(spark, rows[:5]), k=3, dim=dim)) <= {((i, 1), (j, 1)) for i in range(60) for j in range(60)}
+
+
+def test_sketch_bound():
+    # six deviations above the mean, whatever the similarity asked for
+    assert neighbours.most_bits(0.9) == 43 and neighbours.most_bits(1.0) == 0 and neighbours.most_bits(-1.0) == 128

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from quillmesh.llm.tokens import TOKENIZER, count_tokens
 from quillmesh.session import materialize
 
-SALTS = 16
-#: Largest sum of capacities (with separators) that is planned on the driver; one counter for each.
+#: Items of one size that are ranked in one stretch, on average.
+STRETCH = 100_000
+#: Most different sizes that are planned on the driver, over all limits; where the capacities allow more, sizes are rounded up to multiples.
 MOST_SIZES = 5_000_000
 
 
@@ -113,28 +114,37 @@ def _places(kinds: list[tuple[int, tuple[tuple[int, int], ...]]]) -> dict[int, t
     return {s: tuple(np.array(c, dtype=np.int64) for c in zip(*rows)) for s, rows in out.items()}
 
 
-def pack(docs: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack(docs: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER, stretch: int = STRETCH, most_sizes: int = MOST_SIZES) -> DataFrame:
     """(limit_id, container, doc_id, part, from_token, tokens): every document, or its parts, in containers of each limit.
 
     ``docs`` has doc_id and text; ``limits`` (limit_id, capacity_tokens, separator_tokens) is a table of parameters.
     """
     spark = docs.sparkSession
     caps = {r.limit_id: (r.capacity_tokens, r.separator_tokens or 0) for r in limits.where("capacity_tokens > 0 and limit_id is not null").select("limit_id", "capacity_tokens", "separator_tokens").limit(10_001).collect()}
-    if sum(c + s for c, s in caps.values()) > MOST_SIZES or len(caps) > 10_000:
-        raise ValueError("the capacities are too many or too large to be planned together")
+    if len(caps) > 10_000:
+        raise ValueError("more than 10,000 limits")
+    # a rounded size is never smaller, so no container overflows; it wastes less than step / capacity of the room
+    step = {k: max(1, -(-(c + s) * len(caps) // most_sizes)) for k, (c, s) in caps.items()}
     sized = materialize(count_tokens(docs.where(F.col("doc_id").isNotNull()), "doc_id", path=tokenizer).where("tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("tokens")), "tokens")
     schema = "limit_id int, container long, doc_id long, part int, from_token long, tokens long"
     if not caps:
         return spark.createDataFrame([], schema)
-    rules = F.array(*[F.struct(F.lit(k).cast("int").alias("limit_id"), F.lit(c).cast("long").alias("cap"), F.lit(s).cast("long").alias("sep")) for k, (c, s) in sorted(caps.items())])
+    rules = F.array(*[F.struct(F.lit(k).cast("int").alias("limit_id"), F.lit(c).cast("long").alias("cap"), F.lit(s).cast("long").alias("sep"), F.lit(step[k]).cast("long").alias("step")) for k, (c, s) in sorted(caps.items())])
     each = sized.select("doc_id", "tokens", F.inline(rules))
     parts = each.withColumn("part", F.explode(F.sequence(F.lit(1), F.ceil(F.col("tokens") / F.col("cap")).cast("int"))))
     start = (F.col("part") - 1) * F.col("cap")
     items = parts.select(
-        "limit_id", "doc_id", "part", start.alias("from_token"), F.least("cap", F.col("tokens") - start).alias("tokens"), (F.least("cap", F.col("tokens") - start) + F.col("sep")).cast("int").alias("size"),
-        F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int").alias("salt"),
+        "limit_id", "doc_id", "part", start.alias("from_token"), F.least("cap", F.col("tokens") - start).alias("tokens"), F.least(F.ceil((F.least("cap", F.col("tokens") - start) + F.col("sep")) / F.col("step")) * F.col("step"), F.col("cap") + F.col("sep")).cast("long").alias("size"),
     )
-    # at most SALTS counters for each size up to the capacity
+    # a size with many items is ranked in as many stretches as it needs: one counter for each size up to the capacity, and for each stretch
+    ways = items.groupBy("limit_id", "size").agg(F.ceil(F.count("*") / stretch).cast("int").alias("ways"))
+    hot = {(r.limit_id, r.size): r.ways for r in ways.where("ways > 1").collect()}
+    salt = F.lit(0)
+    if hot:
+        many = F.broadcast(spark.createDataFrame([(*k, w) for k, w in hot.items()], "limit_id int, size long, ways int"))  # bounded by the capacities, see MOST_SIZES
+        items = items.join(many, ["limit_id", "size"], "left")
+        salt = F.pmod(F.xxhash64("doc_id", "part"), F.coalesce("ways", F.lit(1))).cast("int")
+    items = items.select("limit_id", "doc_id", "part", "from_token", "tokens", "size", salt.alias("salt"))
     counts = items.groupBy("limit_id", "size", "salt").count().collect()
     sizes: dict[int, dict[int, int]] = {k: defaultdict(int) for k in caps}
     offset: dict[tuple[int, int, int], int] = {}
@@ -162,7 +172,7 @@ def pack(docs: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER) -> Data
 def fill(packed: DataFrame, limits: DataFrame) -> DataFrame:
     """Per limit: containers, documents, tokens and the share of room used, separators counted as used."""
     per = packed.groupBy("limit_id", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
-    joined = per.join(F.broadcast(limits.select("limit_id", "capacity_tokens", "separator_tokens").limit(10_000)), "limit_id")
+    joined = per.join(limits.select("limit_id", "capacity_tokens", "separator_tokens").dropDuplicates(["limit_id"]), "limit_id")
     used = F.sum(F.col("tokens") + (F.col("items") - 1) * F.coalesce("separator_tokens", F.lit(0)))
     return joined.groupBy("limit_id").agg(
         F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), (used / F.sum("capacity_tokens")).alias("used_share"), F.max(F.col("tokens") + (F.col("items") - 1) * F.coalesce("separator_tokens", F.lit(0)) - F.col("capacity_tokens")).alias("most_over")

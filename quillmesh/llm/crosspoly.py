@@ -17,8 +17,8 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def width(d: int) -> int:
-    """The power of two that vectors of length d are padded to; 2 at least."""
-    return max(2, 1 << (d - 1).bit_length())
+    """The power of two that vectors of length d are padded to; 32 at least, as sign flips of a few entries make no random rotations."""
+    return max(32, 1 << (d - 1).bit_length())
 
 
 def padded(x: np.ndarray) -> np.ndarray:

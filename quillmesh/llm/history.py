@@ -4,7 +4,7 @@ URLs: the first record of each canonical form and the forms seen before are foun
 Canonical forms are stored once, so a later batch doesn't canonicalize the past again.
 
 Pages: the words of a batch's main bodies are laid end to end, and the suffixes that begin at a minimizer (any run of 16
-words holds one) are put in order of their first twelve words, each word by its 5-bit number: the batch's suffix array.
+words holds one) are put in order of their first ten words, each word by its 6-bit number: the batch's suffix array.
 It is kept in shards by a hash of these words, each shard in suffix order, and never changed. A search takes the batch's
 substrings shard by shard to the stored arrays, finds the stretch of suffixes that begin with each by binary search, and
 adds up, over the substrings met, how much of the record each earlier one covers. What is covered enough is compared by
@@ -45,12 +45,12 @@ from quillmesh.session import materialize, shared_dir
 SHINGLE = 5
 SIMILARITY = 0.6
 #: Words of a suffix that its key holds, and suffixes among which one is kept.
-DEPTH, WINDOW = 12, 5
+DEPTH, WINDOW = 10, 7
 #: Bodies below SHORT words can be near others without a common run of 16; those below SHORT / 0.6 have all five-word suffixes.
 SHORT = 90
 #: Shares of a record, in ten thousandths: what long matches must cover of it, and from where on it is compared first.
 COVER, STRONG = 400, 5000
-#: Most suffixes with one key that an array lists: twelve words that more bodies share are a passage that is passed around.
+#: Most suffixes with one key that an array lists: ten words that more bodies share are a passage that is passed around.
 HOT = 64
 #: Share of a body's five-word sequences, in ten thousandths, from which on they are too hot to meet its like on the others.
 HOT_SHARE = 5500
@@ -134,7 +134,7 @@ def suffixes(bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
             low[less], where[less] = other[less], at[less] + k
         kept = np.unique(where[long & (at + WINDOW - 1 + DEPTH <= end)])
         span = np.minimum(np.diff(np.append(kept, len(owner) + DEPTH)), end[kept] - kept)
-        keys.append(_leading(words, kept, DEPTH, 5))
+        keys.append(_leading(words, kept, DEPTH, 6))
         docs.append(owner[kept])
         parts.append(-(-10_000 * span // size[owner[kept]]))
     dense = np.nonzero((size[owner] < SHORT / SIMILARITY) & (at + SHINGLE <= end))[0]
@@ -215,12 +215,14 @@ def suffix_rows(bodies: DataFrame) -> DataFrame:
 def suffix_array(rows: DataFrame, shards: int, hot: int = HOT) -> DataFrame:
     """(key, doc, part, hot, met, shard): (key, doc, part) in shards, each in suffix order; a key in more than ``hot`` bodies is one marked row.
 
-    Lists are cut to hot + 1 rows before they are shuffled. met: the key isn't alone. Rows with a column ``hot`` keep their mark.
+    Lists are cut to hot + 1 rows before they are shuffled. met: the key isn't alone. Rows with a column ``hot`` are those of
+    two arrays, which are cut already, and keep their mark.
     """
-    was = F.col("hot") if "hot" in rows.columns else F.lit(False)
-    rows = rows.select("key", "doc", "part", was.alias("hot"))
     every = Window.partitionBy("key")
-    cut = rows.withColumn("rank", F.row_number().over(every.orderBy(F.desc("hot"), "doc"))).where(F.col("rank") <= hot + 1)
+    if "hot" in rows.columns:
+        cut = rows.select("key", "doc", "part", "hot").withColumn("rank", F.row_number().over(every.orderBy("doc")))
+    else:
+        cut = rows.withColumn("hot", F.lit(False)).withColumn("rank", F.row_number().over(every.orderBy("doc"))).where(F.col("rank") <= hot + 1)
     cut = cut.withColumn("n", F.count("*").over(every)).withColumn("hot", F.max("hot").over(every) | (F.col("n") > hot))
     cut = cut.where(~F.col("hot") | (F.col("rank") == 1)).withColumn("shard", F.pmod(F.hash("key"), F.lit(shards)))
     return cut.select("key", "doc", "part", "hot", (F.col("n") > 1).alias("met"), "shard").sortWithinPartitions("shard", "key", "doc")
@@ -244,7 +246,7 @@ def search_shard(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
     A substring that is hot on the other side is given as a pair of its record with itself, and counts as hot there.
     """
     out: list[pd.DataFrame] = []
-    stored = stored.sort_values(["key", "doc"])
+    stored = stored.iloc[np.argsort(stored["key"].to_numpy(), kind="stable")]  # runs in order, merged
     keys, olds, marks = stored["key"].to_numpy(), stored["doc"].to_numpy(), stored["hot"].to_numpy().astype(bool)
     weight = stored["part"].to_numpy().astype(np.int64)
     for begin in range(0, len(asked) if len(keys) else 0, _SPLIT):
@@ -472,7 +474,9 @@ class History:
         own = {"level": 0, "folder": folder, "shards": self._shards(size.n // 4), "words": size.n // 4, "bodies": [f"{folder}-bodies"]}
         rows = suffix_rows(bodies)
         array = self._put(suffix_array(rows, own["shards"], self.hot), f"{folder}/suffixes", "shard")
-        self._mark(array, rows, folder)
+        # long hot suffixes are rare; without any only the bodies that have five-word ones are read again
+        long = array.where("hot and key > 0").isEmpty()
+        self._mark(array, suffix_rows(bodies.where(F.length("words") < 4 * SHORT / SIMILARITY)) if long else rows, folder)
         found = array.where("met and not hot").select("shard", "key", "doc", "part").groupBy("shard").applyInPandas(search_own, _PAIR)
         for segment in self.segments:
             found = found.unionByName(self._search(own, segment))

@@ -126,8 +126,8 @@ def test_any_run_of_16_words_shares_a_suffix(n, before, after, seed):
 def test_keys_keep_the_order_of_suffixes():
     w = h.word_numbers(page(5, 300), {})
     key, _, _ = h.suffixes([w])
-    small = [tuple(int(x) >> 27 for x in w[i : i + h.DEPTH]) for i in range(len(w) - h.DEPTH + 1)]
-    by_key = {sum(x << (5 * (h.DEPTH - 1 - k)) for k, x in enumerate(t)): t for t in small}
+    small = [tuple(int(x) >> 26 for x in w[i : i + h.DEPTH]) for i in range(len(w) - h.DEPTH + 1)]
+    by_key = {sum(x << (6 * (h.DEPTH - 1 - k)) for k, x in enumerate(t)): t for t in small}
     met = [by_key[k] for k in sorted(key.tolist())]
     assert met == sorted(met)
 

@@ -56,14 +56,51 @@ def test_terms_spread_over_partitions_count(spark):
     assert sorted(tuple(r) for r in flushed.collect()) == results[0]
 
 
+def test_any_number_of_partitions_gives_the_same(spark):
+    docs, labels, _ = corpus(300)
+    areas = spark.createDataFrame([(x,) for x in WORDS], "subject string")
+    lab = spark.createDataFrame(labels, "doc_id long, subject string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    results = [sorted(tuple(r) for r in s.label_documents(d.repartition(n), areas, lab).collect()) for n in (1, 16, 64)]
+    assert results[0] == results[1] == results[2]
+
+
 def test_plain():
     assert s.plain("cafÃ© &amp; b­ar") == "café & bar"
-    assert "spot market" in s.terms_of("THE SPOT MARKET IS OPEN TODAY AND LOUD")
+
+
+def rows(*texts):
+    return s.matrix(list(texts), s.Tokens())
+
+
+def test_matrix():
+    en, loud, none, empty = rows("The spot market of Tamar is open. The spot market closed again, they said there.", "THE SPOT MARKET IS OPEN TODAY AND LOUD", "123 456", "")
+    assert en[0] == loud[0] == s.CODES.index("en") and none[0] == empty[0] == -1
+    # both have spot, market, the pair of them, and open
+    assert len(set(en[1]) & set(loud[1])) == 4
+    assert len(en[3]) == 2 and en[4] == 2 and len(en[2]) == en[3].sum() and len(set(en[1])) == len(en[1])
+    assert len(none[1]) == len(empty[1]) == 0
+
+
+def test_nouns_of_languages_that_write_them_with_a_capital():
+    de, low, en = rows("Die Wärmepumpe ist auf dem Dach und nicht im Keller.", "die wärmepumpe ist auf dem dach und nicht im keller.", "The Heat of the day was not for us.")
+    assert set(de[1]) <= set(low[1]) and len(de[1]) >= 3
+    assert len(set(en[1]) & set(rows("The heat of the day was not for us.")[0][1])) == len(en[1])
 
 
 def test_sentences_are_counted_once():
     import numpy as np
+    import pandas as pd
+
+    found = rows("The spot market and the market of the day. It was in the court of law, the court again! Supermarkets of the world are open to all of us.")
+    pdf = pd.DataFrame({"code": [r[0] for r in found], "terms": [r[1].view(np.int64).tobytes() for r in found], "places": [r[2].astype(np.int32).tobytes() for r in found], "sizes": [r[3].astype(np.int32).tobytes() for r in found], "sentences": [r[4] for r in found]})
+    market, court = (int(rows(f"the {w} is")[0][1].view(np.int64)[0]) for w in ("market", "court"))
+    keys, h = s._sorted(np.array([market, court]), np.array([[1.0, 0, 0], [0, 1.0, 0]]))
+    block = s.Block(pdf)
+    assert block.about(*block.loads(keys, h)).tolist() == [[1, 1]]
+    assert [(int(d), int(j)) for d, j in zip(*s.subjects_of(block, keys, h))] == [(0, 0), (0, 1)]
+
 
-    sc = s.Scanner({"en\tmarket": np.array([1.0, 0.0]), "en\tspot market": np.array([0.9, 0.1]), "en\tcourt": np.array([0.0, 1.0])})
-    code, about, n = sc.count("The spot market and the market of the day. It was in the court of law, the court again! Supermarkets of the world are open to all of us.", 2)
-    assert (code, about.tolist(), n) == ("en", [1.0, 1.0], 3)
+def test_long_stretches_are_read_in_pieces():
+    one = rows("the market was open in the day and then it was shut for a while " * 40)[0]
+    assert len(one[3]) > 20 and one[4] > 20

@@ -205,6 +205,7 @@ class Block:
         self.doc = np.repeat(np.arange(self.n), self.many)
         held = np.array([len(b) // 4 for b in pdf["places"]], dtype=np.int64)
         self.places = glue("places", np.int32) + np.repeat(np.cumsum(self.many) - self.many, held)
+        self.count = np.bincount(self.places, minlength=len(self.terms)).astype(np.float32)  # V: the sentences of a document that have the term
         self.sizes = glue("sizes", np.int32).astype(np.int64)
         self.owner = np.repeat(np.arange(self.n), [len(b) // 4 for b in pdf["sizes"]])  # of a sentence
         self.sentences = pdf["sentences"].to_numpy()
@@ -219,14 +220,14 @@ class Block:
 
     def mixtures(self, known: np.ndarray, rows: np.ndarray, folds: int = FOLDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """W, and the share of each component in each known term, by multiplicative updates from a uniform start."""
-        doc, h = self.doc[known], rows[known].astype(np.float32)
+        doc, h, v = self.doc[known], rows[known].astype(np.float32), self.count[known]
         k = h.shape[1]
         w = np.full((self.n, k), 1 / k, dtype=np.float32)
         r = h
         for _ in range(folds):
             r = w[doc] * h
             r /= r.sum(axis=1, keepdims=True) + 1e-30
-            w = np.stack([np.bincount(doc, weights=r[:, j], minlength=self.n) for j in range(k)], axis=1).astype(np.float32)
+            w = np.stack([np.bincount(doc, weights=v * r[:, j], minlength=self.n) for j in range(k)], axis=1).astype(np.float32)
             w /= w.sum(axis=1, keepdims=True) + 1e-30
         return w, doc, r
 
@@ -273,12 +274,14 @@ def fit_anchors(block: Block, given: list[list[int]], k: int, rounds: int = ROUN
             h[:k] = np.stack([sums(r, j) + 1e-4 for j in range(k)])
             h[:k] /= h[:k].sum(axis=1, keepdims=True)
         mass = np.stack([sums(r, j) for j in range(k)])
-        load = mass / (w[:, :k].sum(axis=0)[:, None] + 0.5)
+        base = w[:, :k].sum(axis=0)[:, None] + 0.5
+        load = (mass + SHRINK * base / base.sum()) / base
         load /= load.sum(axis=0) + 1e-300
         own_share = mass.sum(axis=0) / np.maximum(seen, 1)
         pure = (load.max(axis=0) >= PURE) & (own_share >= 0.3)
         out_keys.append(keys[pure])
-        out_rows.append(np.vstack([load, 1 - own_share]).T[pure])
+        other = np.minimum(1 - own_share, 0.3)
+        out_rows.append(np.vstack([load * (1 - other), other]).T[pure])
     return _sorted(np.concatenate(out_keys) if out_keys else np.array([], np.int64), np.vstack(out_rows) if out_rows else np.zeros((0, k + 1)))
 
 
@@ -309,15 +312,15 @@ def _gather(model, k: int, flush: int):
                 known, rows = b.loads(keys, h)
                 w, doc, r = b.mixtures(known, rows)
                 subject = w[:, :k].sum(axis=1)
-                # a document counts if enough of its sentences bear a subject, with its subjects' mixture and the rest's
+                # a document counts if enough of its sentences bear a subject; subjects add up to one document, the rest is kept apart
                 bears = (b.about(known, rows).sum(axis=1) >= np.maximum(1.0, BEARING / 2 * b.sentences)) & (subject > 0)
                 share = np.zeros((b.n, k + 1))
                 share[bears, :k] = w[bears, :k] / subject[bears, None]
+                share[bears, k] = w[bears, k]
+                # a term that H doesn't have yet is shared out as its document is
                 part = share[b.doc]
-                own = np.zeros(len(b.terms), bool)
-                own[known] = True
-                part[own, k] = r[:, k]
-                part[own, :k] *= (1 - r[:, k])[:, None]
+                part[known, :k] = r[:, :k] / (r[:, :k].sum(axis=1, keepdims=True) + 1e-30)
+                part[known, k] = r[:, k]
                 keep = bears[b.doc]
                 held.append(_summed(b.terms[keep], b.code[b.doc][keep], part[keep], np.ones(int(keep.sum()))))
                 # a language's documents are summed up under its number
@@ -341,7 +344,7 @@ def _alternate(table: DataFrame, model, k: int, flush: int) -> tuple[np.ndarray,
     whole = added.where(F.col("term") == F.col("code")).collect()  # one row a language
     keys, rows = [], []
     for w in whole:
-        base = np.array([w[c] for c in columns[:k]]) + 0.5
+        base, rest = np.array([w[c] for c in columns[:k]]) + 0.5, w[columns[k]] + 0.5
         # a few documents of no particular subject are added to each term, so that rare terms aren't pure by chance
         more = SHRINK * base / base.sum()
         lift = [(F.col(c) + float(more[j])) / float(base[j]) for j, c in enumerate(columns[:k])]
@@ -349,9 +352,12 @@ def _alternate(table: DataFrame, model, k: int, flush: int) -> tuple[np.ndarray,
         # at most the mean number of terms of a document over TERM_SHARE
         pure = terms.where(F.greatest(*lift) >= PURE * sum(lift[1:], lift[0])).select("term", "n", *columns).toPandas()
         load = (pure[columns[:k]].to_numpy() + more) / base
+        # each component by its own mass, the rest's against that of the strongest subject
+        other = pure[[columns[k]]].to_numpy() / rest
+        other = other / (other + load.max(axis=1, keepdims=True))
         load /= load.sum(axis=1, keepdims=True)
         keys.append(pure["term"].to_numpy(dtype=np.int64))
-        rows.append(np.hstack([load, pure[[columns[k]]].to_numpy() / np.maximum(pure[["n"]].to_numpy(), 1)]))
+        rows.append(np.hstack([load * (1 - other), other]))
     return _sorted(np.concatenate(keys), np.vstack(rows)) if keys else (np.array([], np.int64), np.zeros((0, k + 1), np.float32))
 
 

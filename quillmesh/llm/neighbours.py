@@ -4,7 +4,8 @@ Unit vectors are hashed to the nearest signed axis after fast Hadamard pseudo-ro
 own bucket in each table and look themselves up in the nearest other buckets too (multiprobe); what meets is reranked
 with exact cosines. Vectors of one direction form a class with one representative, so groups of copies cost nothing.
 Before that, pairs are dropped whose sign sketches differ in more bits than a pair at the least similarity would by
-SIGMAS standard deviations, which loses one in a billion of such pairs; hot buckets are judged alike. Buckets beyond
+SIGMAS standard deviations, which loses five in a million of the pairs just at it; hot buckets are judged alike, and with
+``sigmas`` = None no pair is dropped unseen. Buckets beyond
 ``bucket_cap`` are compared in blocks with matrix products instead of pair rows: nothing is left out.
 Vectors may have any length, given as ``dim``: they are padded with zeros to a power of two for the transform.
 
@@ -30,14 +31,16 @@ DIM = 64
 TABLES = 10
 SEED = 20_240_501
 #: Bits of a sketch, and how far above its mean a pair's number of differing bits may be.
-BITS, SIGMAS = 128, 6.0
+BITS, SIGMAS = 128, 4.4
 BUCKET_CAP = 2048
 
 
-def most_bits(least: float) -> int:
+def most_bits(least: float, sigmas: float | None = SIGMAS) -> int:
     """The differing sketch bits up to which a pair may have a cosine of ``least``: each differs with chance arccos(least) / pi."""
+    if sigmas is None:
+        return BITS
     p = math.acos(max(-1.0, min(1.0, least))) / math.pi
-    return min(BITS, math.ceil(BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p))))
+    return min(BITS, math.ceil(BITS * p + sigmas * math.sqrt(BITS * p * (1 - p))))
 
 
 def _hashed(tables: int, dim: int):
@@ -108,8 +111,7 @@ def _cosines(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.einsum("ij,ij->i", x, y))
 
 
-def _blocks(least: float):
-    most = most_bits(least)
+def _blocks(least: float, most: int):
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -129,11 +131,12 @@ def _blocks(least: float):
     return run
 
 
-def close_pairs(reps: DataFrame, vecs: DataFrame, least: float, bucket_cap: int = BUCKET_CAP) -> DataFrame:
+def close_pairs(reps: DataFrame, vecs: DataFrame, least: float, bucket_cap: int = BUCKET_CAP, sigmas: float | None = SIGMAS) -> DataFrame:
     """Pairs (a, b, sim) of representatives with cosine of at least ``least``, a < b by class number.
 
     ``reps`` has (tab, cls, bits0, bits1, main, probes), ``vecs`` (cls, vec); one row a class in both.
     """
+    most = most_bits(least, sigmas)
     here = F.xxhash64("tab", "bucket").alias("bucket")
     slim = reps.select("tab", "cls", "bits0", "bits1", F.explode("main").alias("bucket")).select("cls", "bits0", "bits1", here)
     look = reps.select("tab", "cls", "bits0", "bits1", F.explode(F.concat("main", "probes")).alias("bucket")).select("cls", "bits0", "bits1", here)
@@ -142,7 +145,7 @@ def close_pairs(reps: DataFrame, vecs: DataFrame, least: float, bucket_cap: int
     hot = not big.isEmpty()
     s = slim.join(big, "bucket", "left_anti") if hot else slim
     differ = lambda c: F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"s.{c}")))
-    near = differ("bits0") + differ("bits1") <= most_bits(least)
+    near = differ("bits0") + differ("bits1") <= most
     on = (F.col("l.bucket") == F.col("s.bucket")) & (F.col("l.cls") != F.col("s.cls")) & near
     pairs = look.alias("l").join(s.alias("s"), on).select(F.least("l.cls", "s.cls").alias("a"), F.greatest("l.cls", "s.cls").alias("b"))
     if hot:
@@ -157,13 +160,13 @@ def close_pairs(reps: DataFrame, vecs: DataFrame, least: float, bucket_cap: int
         by = ["bucket", "block", "part"]
         # new names for the columns both sides take from the same tables
         asked = asked.select(*[F.col(c).alias(c) for c in (*by, "cls", "vec", "bits0", "bits1")])
-        pairs = pairs.unionByName(asked.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(_blocks(least), "a long, b long"))
+        pairs = pairs.unionByName(asked.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(_blocks(least, most), "a long, b long"))
     cosine = F.pandas_udf(_cosines, "double")
     full = pairs.distinct().join(vecs.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a").join(vecs.select(F.col("cls").alias("b"), F.col("vec").alias("vb")), "b")
     return full.select("a", "b", cosine("va", "vb").alias("sim")).where(F.col("sim") >= least)
 
 
-def neighbours_within(vectors: DataFrame, least: float, k: int = 10, bucket_cap: int = BUCKET_CAP, dim: int = DIM) -> DataFrame:
+def neighbours_within(vectors: DataFrame, least: float, k: int = 10, bucket_cap: int = BUCKET_CAP, dim: int = DIM, sigmas: float | None = SIGMAS) -> DataFrame:
     """Directed (tab, id, n, id_b, n_b, sim): of each usable row its at most k most similar others with ``sim >= least``."""
     rows = materialize(usable(vectors, dim=dim), "vectors")
     keyed = rows.select("cls", F.struct("id", "n").alias("key")).distinct()
@@ -172,7 +175,7 @@ def neighbours_within(vectors: DataFrame, least: float, k: int = 10, bucket_cap:
     lowest = rows.withColumn("key", F.struct("id", "n")).join(size.select("cls", F.col("key").alias("low")), "cls").where("key = low")
     reps = lowest.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("tab", "bits0", "bits1", "main", "probes")])
     vecs = lowest.groupBy("cls").agg(F.first("vec").alias("vec"))
-    sims = materialize(close_pairs(materialize(reps, "reps"), vecs, least, bucket_cap), "pairs")
+    sims = materialize(close_pairs(materialize(reps, "reps"), vecs, least, bucket_cap, sigmas), "pairs")
     # the first k + 1 members stand for a class: whoever asks, no later member can be among its k nearest
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("key"))
     firsts = keyed.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("cls").agg(F.array_sort(F.collect_list("key")).alias("first"))

@@ -44,6 +44,7 @@ def test_hadamard_is_orthonormal():
 def test_near_ones_are_found(spark):
     rows = vectors()
     assert pairs(neighbours.neighbours_within(frame(spark, rows), 0.9)) == brute(rows, 0.9)
+    assert pairs(neighbours.neighbours_within(frame(spark, rows), 0.9, sigmas=None)) == brute(rows, 0.9)
 
 
 def test_hot_buckets_are_compared_in_blocks(spark):
@@ -82,5 +83,5 @@ def test_other_lengths(spark):
 
 
 def test_sketch_bound():
-    # six deviations above the mean, whatever the similarity asked for
-    assert neighbours.most_bits(0.9) == 43 and neighbours.most_bits(1.0) == 0 and neighbours.most_bits(-1.0) == 128
+    # so many deviations above the mean, whatever the similarity asked for
+    assert neighbours.most_bits(0.9) == 36 and neighbours.most_bits(0.9, 6) == 43 and neighbours.most_bits(0.9, None) == 128 and neighbours.most_bits(1.0) == 0 and neighbours.most_bits(-1.0) == 128

@@ -37,6 +37,9 @@ def test_canonical_forms(spark):
 def test_hosts_and_videos(spark):
     assert one(spark, host_of, ["https://WWW.A.example:80/x", "ftp://u@b.example", "x", None]) == ["a.example", "b.example", "", ""]
     assert one(spark, video_id, ["https://m.youtube.com/watch?x=1&v=abcDEF12_-9&y", "https://a.example"]) == ["abcDEF12_-9", None]
+    shapes = ["youtube.com/live/{}?t=1", "https://music.youtube.com/embed/{}", "HTTPS://WWW.YOUTUBE.COM/V/{}", "youtu.be/{}#x", "http://youtube.com/watch?v={}#t", "youtube.com/watch?v=bad&v={}&list=2"]
+    assert one(spark, video_id, [s.format("abcDEF12_-9") for s in shapes]) == ["abcDEF12_-9"] * len(shapes)
+    assert one(spark, video_id, ["youtube.com.evil.example/v/abcDEF12_-9", "https://youtube.com:443/v/abcDEF12_-9", "youtu.be/abcDEF12_-9x", "youtube.com/watch#v=abcDEF12_-9", None]) == [None] * 5
 
 
 @settings(max_examples=5, deadline=None)

@@ -29,26 +29,31 @@ def boilerplate(passages: DataFrame, pages: int = 3) -> DataFrame:
 def idf(passages: DataFrame, words: DataFrame) -> DataFrame:
     """(ord, lex, idf) of the topic words (ord, lex): counted over all passages, boilerplate too."""
     total = passages.agg(F.greatest(F.count("*"), F.lit(1)).cast("double").alias("n"))
-    df = passages.select("raw_doc_id", "n", F.explode(tokens(F.col("text"))).alias("lex")).join(F.broadcast(words.select("lex").distinct().limit(10_000)), "lex", "left_semi").groupBy("lex").agg(F.count("*").alias("df"))
+    df = _hits(passages, words.select("lex").distinct()).groupBy("lex").agg(F.count("*").alias("df"))
     return words.join(df, "lex", "left").select("ord", "lex", F.log(total.scalar() / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
 
 
+def _hits(passages: DataFrame, words: DataFrame) -> DataFrame:
+    """(raw_doc_id, n, lex): the words (lex) that each passage has; left to the optimizer's own size check to broadcast."""
+    return passages.select("raw_doc_id", "n", F.explode(tokens(F.col("text"))).alias("lex")).join(words, "lex")
+
+
 def coverage(passages: DataFrame, weighted: DataFrame, boiler: DataFrame) -> DataFrame:
     """(ord, raw_doc_id, n, cover): the weight of a topic's words that a passage has, over the weight of all of them."""
     w = weighted.select("ord", "lex", F.greatest("idf", F.lit(0.0)).alias("w"))
     total = w.groupBy("ord").agg(F.sum("w").alias("total"))
-    # topic words are the query's parameters: at most a few thousand
     lex = passages.where("text is not null").withColumn("text_md5", F.md5("text")).join(boiler.select("text_md5"), "text_md5", "left_anti")
-    hits = lex.select("raw_doc_id", "n", F.explode(tokens(F.col("text"))).alias("lex")).join(F.broadcast(w.limit(10_000)), "lex")
-    return hits.groupBy("ord", "raw_doc_id", "n").agg(F.sum("w").alias("s")).join(F.broadcast(total.limit(10_000)), "ord").select("ord", "raw_doc_id", "n", (F.col("s") / F.nullif(F.col("total"), F.lit(0.0))).alias("cover"))
+    hits = _hits(lex, w)
+    return hits.groupBy("ord", "raw_doc_id", "n").agg(F.sum("w").alias("s")).join(total, "ord").select("ord", "raw_doc_id", "n", (F.col("s") / F.nullif(F.col("total"), F.lit(0.0))).alias("cover"))
 
 
-def merge_candidates(by_meaning: DataFrame, by_words: DataFrame, weight: float = 0.3, sim: float = 0.55, cover: float = 0.75) -> DataFrame:
-    """(ord, raw_doc_id, n, sim, cover, pscore): both lists by passage, those that pass either cutoff."""
+def merge_candidates(by_meaning: DataFrame, by_words: DataFrame, weight: float = 0.3, sim: float = 0.55, cover: float = 0.75, keep_all: bool = False) -> DataFrame:
+    """(ord, raw_doc_id, n, sim, cover, pscore, hit): both lists by passage; hit tells those that pass either cutoff, alone unless ``keep_all``."""
     keys = ["ord", "raw_doc_id", "n"]
     both = by_meaning.select(*keys, "sim").unionByName(by_words.select(*keys, "cover"), allowMissingColumns=True).groupBy(*keys).agg(F.max("sim").alias("sim"), F.max("cover").alias("cover"))
     s, c = F.coalesce("sim", F.lit(0.0)), F.coalesce("cover", F.lit(0.0))
-    return both.where((s >= sim) | (c >= cover)).withColumn("pscore", s + weight * c)
+    scored = both.withColumn("pscore", s + weight * c).withColumn("hit", (s >= sim) | (c >= cover))
+    return scored if keep_all else scored.where("hit")
 
 
 def deletions(word: Column) -> Column:

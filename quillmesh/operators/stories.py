@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.session import materialize
 
 
 def amount(structured: Column) -> Column:
-    """``amount_usd`` where the JSON holds a number; a number written as text stays null."""
-    raw = F.get_json_object(structured, "$.amount_usd")
-    text = structured.rlike(r'"amount_usd"\s*:\s*"')
-    return F.when(~text, raw.try_cast("double"))
+    """``amount_usd`` where the JSON holds a number there; a number written as text stays null."""
+    parsed = F.try_parse_json(structured)
+    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.amount_usd", "variant"))
+    return F.when(kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), F.try_variant_get(parsed, "$.amount_usd", "double"))
 
 
 def items_once(items: DataFrame) -> DataFrame:
@@ -39,25 +39,32 @@ def root_key(item_id: Column, dup_of: Column) -> Column:
 
 
 def story_view(items: DataFrame, key: Column) -> DataFrame:
-    """One row a story: counts, best scores, the span of dates, the representative's columns and all URLs in its order.
+    """One row a story: counts, best scores, the span of dates and the representative's columns.
 
-    The representative is the best by score, then the lowest id. Only ids, scores and URLs are gathered a story.
+    The representative is the best by score, then the lowest id. Nothing is gathered a story, however many articles it has;
+    its URLs are rows of ``story_urls``.
     """
     when = F.coalesce("published_at", "created_at")
-    order = F.struct(F.coalesce(-F.col("score"), F.lit(0)).alias("s"), F.col("id").alias("i"), F.col("canonical_url").alias("u"))
     keyed = items_once(items).withColumn("story_key", key).withColumn("amount_num", amount(F.col("structured")))
-    front = F.struct(F.coalesce(-F.col("score"), F.lit(0)).alias("s"), F.col("id").alias("i"), "title", "canonical_url", "summary")
+    front = F.struct(F.coalesce(-F.col("score"), F.lit(0)).alias("s"), F.col("id").alias("i"), "title", "canonical_url", "summary", "angle", "tags", "structured")
     rolled = keyed.groupBy("story_key").agg(
         F.count("*").alias("articles"), F.max("score").alias("score"), F.max("specificity").alias("specificity"), F.max("angle_strength").alias("angle_strength"), F.max("amount_num").alias("amount_usd"),
         F.min(when).alias("first_published"), F.max(when).alias("last_published"), F.max("created_at").alias("created_at"), F.max("run_id").alias("run_id"),
-        F.min(front).alias("rep"), F.array_sort(F.collect_list(order)).alias("urls"),
+        F.min_by(front, F.struct(F.coalesce(-F.col("score"), F.lit(0)), "id")).alias("rep"),
     )
     return rolled.select(
         "story_key", "articles", "score", "specificity", "angle_strength", "amount_usd", "first_published", "last_published", "created_at", "run_id",
-        F.col("rep.i").alias("rep_id"), F.col("rep.title").alias("title"), F.col("rep.canonical_url").alias("canonical_url"), F.col("rep.summary").alias("summary"), F.transform("urls", lambda x: x["u"]).alias("all_urls"),
+        F.col("rep.i").alias("rep_id"), F.col("rep.title").alias("title"), F.col("rep.canonical_url").alias("canonical_url"), F.col("rep.summary").alias("summary"), F.col("rep.angle").alias("angle"), F.col("rep.tags").alias("tags"), F.col("rep.structured").alias("structured"),
     )
 
 
+def story_urls(items: DataFrame, key: Column) -> DataFrame:
+    """(story_key, pos, canonical_url): the URLs of each story in the order that picks its representative."""
+    keyed = items_once(items).withColumn("story_key", key)
+    rank = F.row_number().over(Window.partitionBy("story_key").orderBy(F.coalesce(-F.col("score"), F.lit(0)), "id"))
+    return keyed.select("story_key", rank.alias("pos"), "canonical_url")
+
+
 def roots(parents: DataFrame) -> DataFrame:
     """(id, root) of (id, parent): parents have lower ids, so pointer jumping halves the depth each round."""
     links = materialize(parents.select("id", F.coalesce("parent", "id").alias("root")), "roots")

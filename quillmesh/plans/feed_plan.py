@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.urls import host_of
-from quillmesh.operators import ledger, lexical, ranking, state, stories, vectors
+from quillmesh.operators import ledger, lexical, ranking, search, state, stories, vectors
 from quillmesh.session import materialize, table
 
 NOW = "2026-04-25 00:00:00"
@@ -22,7 +22,7 @@ def _us(c: str):
 
 
 def _story_columns(v: DataFrame) -> DataFrame:
-    return v.select("story_key", "articles", "score", "specificity", "angle_strength", "amount_usd", _us("first_published"), _us("last_published"), _us("created_at"), "run_id", "rep_id", "title", "canonical_url", "all_urls")
+    return v.select("story_key", "articles", "score", "specificity", "angle_strength", "amount_usd", _us("first_published"), _us("last_published"), _us("created_at"), "run_id", "rep_id", "title", "canonical_url")
 
 
 def story_view(s, d):
@@ -33,6 +33,10 @@ def story_view_structured(s, d):
     return _story_columns(stories.story_view(_items(s, d), stories.structured_key(F.col("structured"), F.col("id"))))
 
 
+def story_urls(s, d):
+    return stories.story_urls(_items(s, d), stories.root_key(F.col("id"), F.col("dup_of")))
+
+
 def generated_score(s, d):
     return _items(s, d).select("id", stories.total_score(F.col("specificity"), F.col("angle_strength")).alias("score"), "specificity", "angle_strength")
 
@@ -154,30 +158,92 @@ def topic_coverage(s, d):
 
 
 def _probe(s, d):
-    """Stand-ins for embedded topics: the vectors of the first three usable passages."""
-    c = table(s, d, "doc_chunks").where(vectors.usable(F.col("embedding"), 64))
-    q = c.orderBy("raw_doc_id", "n").limit(3).select("raw_doc_id", "embedding")
-    return q.select(F.row_number().over(Window.orderBy("raw_doc_id")).cast("long").alias("q"), F.col("embedding").alias("v"))
+    """Queries: every usable passage of the pages whose id is divisible by 100."""
+    c = table(s, d, "doc_chunks").where(vectors.usable(F.col("embedding"), 64)).where("raw_doc_id % 100 = 0")
+    return c.select(_passage_id(), F.col("embedding").alias("v")).withColumnRenamed("id", "q")
+
+
+def _passage_id():
+    """Page and number in one; a page has fewer than 2^20 passages."""
+    return (F.shiftleft(F.col("raw_doc_id"), 20) + F.col("n")).alias("id")
 
 
 def _keyed_passages(s, d):
     c = table(s, d, "doc_chunks").where(vectors.usable(F.col("embedding"), 64))
-    return c.select((F.col("raw_doc_id") * 1000 + F.col("n")).alias("id"), F.col("embedding").alias("v"))
+    return c.select(_passage_id(), F.col("embedding").alias("v"))
 
 
 def nearest_passages(s, d):
-    return vectors.nearest(_probe(s, d), _keyed_passages(s, d), 40).where("rank <= 10").select("q", "id", F.round("sim", 4).alias("sim"))
+    found = vectors.nearest(_probe(s, d), _keyed_passages(s, d), 40).where("rank <= 10")
+    return found.select("q", F.shiftright("id", 20).alias("raw_doc_id"), F.col("id").bitwiseAND(F.lit(2**20 - 1)).cast("int").alias("n"), F.round("sim", 4).alias("sim"))
+
+
+def _item_vectors(s, d):
+    """Items with a stand-in for their own embedding: that of their page's first usable passage."""
+    c = table(s, d, "doc_chunks").where(vectors.usable(F.col("embedding"), 64))
+    first = c.groupBy("raw_doc_id").agg(F.min_by("embedding", "n").alias("v"))
+    return _items(s, d).join(first, "raw_doc_id", "left")
+
+
+def _topics(s, d):
+    """Topics: the three most used tags, each with the vector of the first item that has it."""
+    i = _item_vectors(s, d).select("id", "v", F.explode(F.array_distinct("tags")).alias("kw")).where("trim(kw) != ''")
+    top = i.groupBy("kw").agg(F.count("*").alias("n"), F.min_by("v", F.when(F.col("v").isNotNull(), F.col("id"))).alias("v")).orderBy(F.desc("n"), "kw").limit(3)
+    return materialize(top.select(F.row_number().over(Window.orderBy(F.desc("n"), "kw")).alias("ord"), "kw", "v"), "topics")
 
 
 def hybrid_passages(s, d):
-    """Both candidate lists merged, one best passage a page."""
-    c = table(s, d, "doc_chunks")
-    boiler = lexical.boilerplate(c, 3)
-    meaning = vectors.nearest(_probe(s, d), _keyed_passages(s, d), 40).select(F.col("q").cast("int").alias("ord"), F.floor(F.col("id") / 1000).alias("raw_doc_id"), (F.col("id") % 1000).cast("int").alias("n"), "sim")
-    words = lexical.coverage(c, lexical.idf(c, _topic_words(s)), boiler)
-    both = lexical.merge_candidates(meaning, words)
-    best = F.max(F.struct(F.round("pscore", 6).alias("pscore"), (-F.col("n")).alias("n"))).alias("b")
-    return both.groupBy("ord", "raw_doc_id").agg(best).select("ord", "raw_doc_id", (-F.col("b.n")).alias("n"), "b.pscore")
+    """Passages by meaning and words, one best passage a page."""
+    hits = search.page_hits(search.passage_pool(table(s, d, "doc_chunks"), _topics(s, d), 64))
+    return hits.select("ord", "raw_doc_id", "pn", "pn2", F.round("pscore", 6).alias("pscore"))
+
+
+def _searched(s, d, grouped: bool, filters, limit: int = search.LIMIT, topics=None):
+    items = _item_vectors(s, d)
+    view = stories.story_view(items.drop("v"), stories.root_key(F.col("id"), F.col("dup_of"))) if grouped else None
+    topics = _topics(s, d) if topics is None else topics
+    hits = search.passages_by_key(search.page_hits(search.passage_pool(table(s, d, "doc_chunks"), topics, 64)), items)
+    return search.search(search.candidates(items, view, FAILED), topics, hits, filters, NOW, limit)
+
+
+def _rows(found):
+    return found.select("id", "ord", F.round("sim", 5).alias("sim"), "kw_hit", F.round("rel", 5).alias("rel"), F.col("rn").cast("int").alias("rn"), "outside", "pn", "pn2", "articles", "age_days", "outside_total")
+
+
+def feed_search_items(s, d):
+    """Every article, since a day and from a score on."""
+    return _rows(_searched(s, d, False, search.in_filter(NOW, since="2025-06-01", min_score=5)))
+
+
+def feed_search_stories(s, d):
+    """One row a story, at most a year old."""
+    return _rows(_searched(s, d, True, search.in_filter(NOW, max_age_days=365)))
+
+
+def feed_search_unknown(s, d):
+    """Stories have no relevance: with a filter on it they are in neither list, unless another filter fails."""
+    return _rows(_searched(s, d, True, search.in_filter(NOW, since="2025-06-01", min_relevance=4)))
+
+
+def feed_latest(s, d):
+    """No topic: all items that pass, best first."""
+    return _rows(_searched(s, d, False, search.in_filter(NOW, min_score=6), topics=_topics(s, d).limit(0)))
+
+
+def feed_shown(s, d):
+    """The searched list as it is shown, with evidence."""
+    topics = _topics(s, d)
+    words = [w for r in topics.collect() for w in r.kw.split() if len(w) > 2]  # three topics
+    found = materialize(_searched(s, d, False, search.in_filter(NOW, min_score=4), topics=topics), "found")
+    shown = search.shaped(found, table(s, d, "doc_chunks"), _items(s, d), words)
+    return shown.select("n", "id", "outside", "match", "passage", "at", F.md5("evidence").alias("evidence"))
+
+
+def feed_next(s, d):
+    """The page after the first five of the same search, asked for with room for more."""
+    found = materialize(_searched(s, d, False, search.in_filter(NOW), limit=search.PAGE + search.OVER), "found")
+    shown = found.where("not outside").orderBy("ord", "rn").limit(search.PAGE).select("id")
+    return search.next_page(found, shown)
 
 
 def older_twin(s, d):
@@ -230,12 +296,6 @@ def brief_page(s, d):
     return page.withColumn("t", total).select("rep_id", "title", "score", "articles", "t.total", "t.good")
 
 
-def unseen_next(s, d):
-    shown = table(s, d, "feed_items").select("id").distinct().orderBy("id").limit(10)
-    ranked = _items(s, d).where(~F.col("summary").eqNullSafe(FAILED)).orderBy(F.desc_nulls_last("score"), "id").limit(20)
-    return ranked.join(F.broadcast(shown), "id", "left_anti").orderBy(F.desc_nulls_last("score"), "id").limit(5).select("id", "title", "score")
-
-
 def filtered_items(s, d):
     """Three-valued filters: rows whose filter is unknown are in neither list."""
     f = (F.coalesce("published_at", "created_at") >= F.lit("2025-06-01 00:00:00").cast("timestamp")) & (F.col("relevance") >= 4) & (F.col("score") >= 6)
@@ -362,9 +422,9 @@ def evaluation_grid(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    story_view, story_view_structured, generated_score, json_amounts, deep_duplicates, story_sizes, run_status, backlog, drain_batch, backlog_when_idle, pages_without_passages, top_titles, repaired_runs, error_digest, last_runs,
+    story_view, story_urls, story_view_structured, generated_score, json_amounts, deep_duplicates, story_sizes, run_status, backlog, drain_batch, backlog_when_idle, pages_without_passages, top_titles, repaired_runs, error_digest, last_runs,
     scorecard_by_source, scorecard_by_host, scorecard_by_feed, latest_votes, taste_examples, boilerplate_passages, vocabulary, topic_idf, topic_coverage, nearest_passages, hybrid_passages, older_twin, twin_action, twin_action_default, other_label_twin, story_roots,
-    vector_faults, recall_top3, brief_page, unseen_next, filtered_items, feed_list, feed_item_page, list_positions, joined_passages, reranked, passing_mentions, source_numbers, stable_sample, pass_cut, passage_text, item_texts,
+    vector_faults, recall_top3, brief_page, feed_search_items, feed_search_stories, feed_search_unknown, feed_latest, feed_shown, feed_next, filtered_items, feed_list, feed_item_page, list_positions, joined_passages, reranked, passing_mentions, source_numbers, stable_sample, pass_cut, passage_text, item_texts,
     replaced_items, cascade, reactivated_sources, switched_off, failures_bumped, vocabulary_added, evaluation_grid,
 )}
 

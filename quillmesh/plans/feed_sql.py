@@ -19,7 +19,7 @@ _KEY = f"""case when {_get('company')} is not null then 'co:' || lower({_get('co
 def _view(key: str) -> str:
     return f"""select story_key, count(*) as articles, max(score) as score, max(specificity) as specificity, max(angle_strength) as angle_strength, max(amount) as amount_usd,
       epoch_us(min(coalesce(published_at, created_at))) as first_published, epoch_us(max(coalesce(published_at, created_at))) as last_published, epoch_us(max(created_at)) as created_at, max(run_id) as run_id,
-      list(id order by coalesce(score, 0) desc, id)[1] as rep_id, list(title order by coalesce(score, 0) desc, id)[1] as title, list(canonical_url order by coalesce(score, 0) desc, id)[1] as canonical_url, list(canonical_url order by coalesce(score, 0) desc, id) as all_urls
+      list(id order by coalesce(score, 0) desc, id)[1] as rep_id, list(title order by coalesce(score, 0) desc, id)[1] as title, list(canonical_url order by coalesce(score, 0) desc, id)[1] as canonical_url
       from (select *, {key} as story_key, {_AMOUNT} as amount from {I}) group by 1"""
 
 
@@ -48,9 +48,44 @@ _BOILER = "(select md5(text) as text_md5 from doc_chunks group by 1 having count
 _COVER = f"""(select h.ord, h.raw_doc_id, h.n, h.s / nullif(q.total, 0) as cover from (select i.ord, x.raw_doc_id, x.n, sum(greatest(i.idf, 0)) as s from {_IDF} i join {_LEX} x using (lex) where x.text_md5 not in (select text_md5 from {_BOILER}) group by 1, 2, 3) h
   join (select ord, sum(greatest(idf, 0)) as total from {_IDF} group by 1) q using (ord))"""
 _FINE = "embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
-_V = f"(select raw_doc_id * 1000 + n as id, raw_doc_id, n, embedding::double[] as v from doc_chunks where {_FINE})"
-_Q = f"(select row_number() over (order by raw_doc_id) as q, v from (select * from {_V} order by raw_doc_id, n limit 3))"
-_NEAR = f"(select *, row_number() over (partition by q order by sim desc, id) as k from (select q, id, raw_doc_id, n, round(list_cosine_similarity(a.v, b.v), 12) as sim from {_Q} a(q, v), {_V} b(id, raw_doc_id, n, v)))"
+_V = f"(select raw_doc_id * 1048576 + n as id, raw_doc_id, n, md5(text) as text_md5, embedding::double[] as v from doc_chunks where {_FINE})"
+_Q = f"(select id as q, v from {_V} where raw_doc_id % 100 = 0)"
+_NEAR = f"(select *, row_number() over (partition by q order by sim desc, id) as k from (select q, id, raw_doc_id, n, round(list_cosine_similarity(a.v, b.v), 12) as sim from {_Q} a(q, v), {_V} b(id, raw_doc_id, n, text_md5, v)))"
+_IV = f"(select i.*, c.v from {I} i left join (select raw_doc_id, arg_min(v, n) as v from {_V} group by 1) c using (raw_doc_id))"
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda w: w <> '' {1}))"
+
+
+def _search(mode: str, where: str, limit: int = 20) -> str:
+    """CTEs t (topics), pdoc (page hits), best (matches), listed and beside, of the search over ``mode`` item or story."""
+    rows = (
+        f"select id, title, canonical_url, summary, angle, relevance, score, tags, created_at, published_at, 1 as articles, v, 'it:' || id as match_key from {_IV} where {_OK}"
+        if mode == "item"
+        else f"""select l.id, f.title, f.canonical_url, f.summary, f.angle, null::int as relevance, s.score, f.tags, make_timestamptz(s.created_at) as created_at, make_timestamptz(s.last_published) as published_at, s.articles, l.v, s.story_key as match_key
+          from ({_view(_ROOT)}) s join {I} f on f.id = s.rep_id left join (select canonical_url, max(id) as id, arg_max_null(v, id) as v from {_IV} group by 1) l on l.canonical_url = f.canonical_url where f.{_OK}"""
+    )
+    return f"""with t as materialized (select row_number() over (order by n desc, kw) as ord, kw, v as qv from (select kw, count(*) as n, arg_min(v, case when v is not null then id end) as v from (select id, v, unnest(list_distinct(tags)) as kw from {_IV}) where trim(kw) <> '' group by 1 order by n desc, kw limit 3)),
+      tw as (select ord, unnest({_WORDS.format('kw', "and w <> 'ai'")}) as lex from t), lex as materialized {_LEX}, boiler as materialized {_BOILER},
+      idf as materialized (select ord, lex, greatest(0, ln((select greatest(count(*), 1)::double from doc_chunks) / (1 + (select count(*) from lex x where x.lex = tw.lex)))) as w from tw),
+      cov as (select ord, raw_doc_id, n, s / nullif(total, 0) as cover from (select ord, raw_doc_id, n, sum(w) as s from idf join lex using (lex) where text_md5 not in (select text_md5 from boiler) group by all) join (select ord, sum(w) as total from idf group by 1) using (ord)),
+      near as (select ord, raw_doc_id, n, sim from (select ord, raw_doc_id, n, sim, row_number() over (partition by ord order by sim desc, id) as k from (select ord, id, raw_doc_id, n, round(list_cosine_similarity(qv, v), 12) as sim from t, {_V} where qv is not null and text_md5 not in (select text_md5 from boiler))) where k <= 40),
+      pool as materialized (select *, coalesce(sim, 0) + 0.3 * coalesce(cover, 0) as pscore, coalesce(sim, 0) >= 0.55 or coalesce(cover, 0) >= 0.75 as hit from (select ord, raw_doc_id, n, max(sim) as sim, max(cover) as cover from (select ord, raw_doc_id, n, sim, null as cover from near union all select ord, raw_doc_id, n, null, cover from cov) group by all)),
+      one as (select * from (select *, row_number() over (partition by ord, raw_doc_id order by pscore desc, n) as k from pool where hit) where k = 1),
+      two as (select ord, raw_doc_id, n as pn2 from (select p.*, row_number() over (partition by p.ord, p.raw_doc_id order by p.pscore desc, p.n) as k from pool p join one o on o.ord = p.ord and o.raw_doc_id = p.raw_doc_id and o.n <> p.n) where k = 1),
+      pdoc as materialized (select o.ord, o.raw_doc_id, o.n::int as pn, o.sim as psim, o.cover as pcover, o.pscore, two.pn2::int as pn2 from one o left join two using (ord, raw_doc_id)),
+      pkey as (select * from (select *, row_number() over (partition by ord, match_key order by pscore desc, raw_doc_id, pn) as k from (select p.*, unnest(['it:' || i.id, 'st:' || coalesce(i.dup_of, i.id)]) as match_key from pdoc p join {I} i using (raw_doc_id))) where k = 1),
+      call as (select *, {where} as in_filter from ({rows})),
+      m as (select c.*, t.ord, list_cosine_similarity(c.v, t.qv) as sim, coalesce(len(list_filter(c.tags, lambda g: contains(g, lower(t.kw)))) > 0, false)
+        or len(list_intersect({_WORDS.format('t.kw', "and w <> 'ai'")}, {_WORDS.format("concat_ws(' ', c.title, c.summary, c.angle, array_to_string(c.tags, ' '))", '')})) >= greatest(1, ceil(len({_WORDS.format('t.kw', "and w <> 'ai'")}) * 0.6)) as kw_hit, p.pn, p.psim, p.pcover, p.pscore, p.pn2
+        from call c cross join t left join pkey p on p.ord = t.ord and p.match_key = c.match_key),
+      b as (select *, round(case when kw_hit or coalesce(sim, -1) >= 0.45 then coalesce(sim, 0) + case when kw_hit then 0.15 else 0 end + case when pscore is not null then 0.05 else 0 end else coalesce(psim, 0) end, 6) as rel from m where kw_hit or coalesce(sim, -1) >= 0.45 or pscore is not null),
+      best as materialized (select *, row_number() over (partition by ord, in_filter order by rel desc, score desc nulls last, published_at desc nulls last, id) as rn from (select *, row_number() over (partition by id order by ord, match_key) as k from b) where k = 1),
+      listed as (select *, false as outside from best where in_filter and rn <= ceil({limit} / 3.0) order by ord, rn, score desc nulls last, published_at desc nulls last, id limit {limit}),
+      beside as (select *, true as outside from best where not in_filter order by rel desc, score desc nulls last, id limit 5), found as (select * from listed union all select * from beside)"""
+
+
+_FOUND = """ select id, ord::int as ord, round(sim, 5) as sim, kw_hit, round(rel, 5) as rel, rn::int as rn, outside, pn, pn2, articles, case when published_at is not null then greatest(0, floor((epoch(timestamptz '2026-04-25 00:00:00+00') - epoch(published_at)) / 86400)::int) end as age_days,
+  (select count(*) from best where not in_filter) as outside_total from found"""
+_SINCE = "coalesce(published_at, created_at) >= timestamptz '{0} 00:00:00+00'"
 _E = "(select vec_id as id, embedding::double[] as v, label from embeddings)"
 _OLD = f"(select id, older, sim from (select a.id, b.id as older, round(list_cosine_similarity(a.v, b.v), 12) as sim, row_number() over (partition by a.id order by round(list_cosine_similarity(a.v, b.v), 12) desc, b.id) as k from {_E} a join {_E} b on b.id < a.id) where k = 1)"
 _BAND = "case when sim >= {0} then 'merge' when sim >= {1} then 'check' else 'new' end"
@@ -88,10 +123,15 @@ SQL = {
     "vocabulary": _vocab(more=f"union all select unnest({_TOK}) from (select concat_ws(' ', title, summary) as text from {I})"),
     "topic_idf": f"select ord, lex, round(idf, 6) as idf from {_IDF}",
     "topic_coverage": f"select ord, raw_doc_id, n, round(cover, 6) as cover from {_COVER} where cover >= 0.75",
-    "nearest_passages": f"select q, id, round(sim, 4) as sim from {_NEAR} where k <= 10",
-    "hybrid_passages": f"""with m as (select ord, raw_doc_id, n, max(sim) as sim, max(cover) as cover from (select q::int as ord, raw_doc_id, n, sim, null::double as cover from {_NEAR} where k <= 40 union all select ord, raw_doc_id, n, null, cover from {_COVER}) group by 1, 2, 3),
-      p as (select ord, raw_doc_id, n, round(coalesce(sim, 0) + 0.3 * coalesce(cover, 0), 6) as pscore from m where coalesce(sim, 0) >= 0.55 or coalesce(cover, 0) >= 0.75)
-      select ord, raw_doc_id, n, pscore from (select *, row_number() over (partition by ord, raw_doc_id order by pscore desc, n) as k from p) where k = 1""",
+    "nearest_passages": f"select q, raw_doc_id, n::int as n, round(sim, 4) as sim from {_NEAR} where k <= 10",
+    "hybrid_passages": _search("item", "true") + " select ord::int as ord, raw_doc_id, pn, pn2, round(pscore, 6) as pscore from pdoc",
+    "story_urls": f"select {_ROOT} as story_key, (row_number() over (partition by {_ROOT} order by coalesce(score, 0) desc, id))::int as pos, canonical_url from {I}",
+    "feed_search_items": _search("item", _SINCE.format("2025-06-01") + " and score >= 5") + _FOUND,
+    "feed_search_stories": _search("story", _SINCE.format("2025-04-25")) + _FOUND,
+    "feed_search_unknown": _search("story", _SINCE.format("2025-06-01") + " and relevance >= 4") + _FOUND,
+    "feed_latest": f"""select id, null::int as ord, null::double as sim, null::boolean as kw_hit, null::double as rel, null::int as rn, false as outside, null::int as pn, null::int as pn2, 1 as articles, case when published_at is not null then greatest(0, floor((epoch(timestamptz '2026-04-25 00:00:00+00') - epoch(published_at)) / 86400)::int) end as age_days,
+      0 as outside_total from {I} where {_OK} and score >= 6 order by score desc nulls last, published_at desc nulls last, id limit 20""",
+    "feed_next": _search("item", "true", 15) + " select (5 + row_number() over (order by ord, rn, id))::int as n, id from (select *, row_number() over (order by ord, rn) as place from listed) where place > 5 order by ord, rn limit 5",
     "older_twin": f"select id, older, round(sim, 4) as sim from {_OLD}",
     "twin_action": f"select {_BAND.format(0.45, 0.40)} as action, count(*) as items from (select round(sim, 4) as sim from {_OLD}) group by 1",
     "twin_action_default": f"select {_BAND.format(0.87, 0.80)} as action, count(*) as items from {_OLD} group by 1",
@@ -104,7 +144,6 @@ SQL = {
       select chat_id, id, round(sim, 4) as sim from (select *, row_number() over (partition by chat_id order by sim desc, id) as k from s) where k <= 3 and sim >= 0.3""",
     "brief_page": f"""with v as (select s.*, f.summary from ({_STORY}) s join {I} f on f.id = s.rep_id), w as (select * from v where created_at >= epoch_us(timestamptz '2026-01-01 00:00:00+00') and {_OK})
       select rep_id, title, score, articles, (select count(*) from w) as total, (select count(*) from w where score >= 7) as good from w order by score desc nulls last, created_at desc, rep_id limit 5 offset 5""",
-    "unseen_next": f"select id, title, score from (select * from {I} where {_OK} order by score desc nulls last, id limit 20) where id not in (select distinct id from feed_items order by id limit 10) order by score desc nulls last, id limit 5",
     "filtered_items": f"select case when f then 'listed' when not f then 'outside' else 'neither' end as side, count(*) as items from (select coalesce(published_at, created_at) >= timestamptz '2025-06-01 00:00:00+00' and relevance >= 4 and score >= 6 as f from {I} where {_OK}) group by 1",
     "feed_list": f"""with w as {_TOPICS}, need as (select ord, greatest(1, ceil(count(*) * 0.6)) as need from w group by 1),
       h as (select w.ord, x.id, x.score, x.published_at, count(*) as hits from (select id, score, published_at, unnest({_TOK}) as lex from (select id, score, published_at, {_TEXT} as text from {I} where {_OK})) x join w using (lex) group by all),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions import routes, text
+from quillmesh.functions import text
 from quillmesh.operators import lexical, stories
 from quillmesh.session import table
 
@@ -117,10 +117,6 @@ def shared_words(s, d):
     return _items(s, d).select("id", F.size(F.array_intersect(a, b)).alias("shared"))
 
 
-def message_routes(s, d):
-    return _chats(s, d).groupBy(routes.route(F.col("question")).alias("route")).agg(F.count("*").alias("messages"))
-
-
 def repeat_messages(s, d):
     """Events that repeat their user's last one within two minutes."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
@@ -215,7 +211,7 @@ def caption_segments(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    figure_tokens, unsupported_figures, citation_ids, transcript_clock, iso_dates, recency, region_items, local_days, cron_fires, topic_lists, item_numbers, html_escaped, tags_cleaned, note_names, snippets, sentence_counts, shared_words, message_routes,
+    figure_tokens, unsupported_figures, citation_ids, transcript_clock, iso_dates, recency, region_items, local_days, cron_fires, topic_lists, item_numbers, html_escaped, tags_cleaned, note_names, snippets, sentence_counts, shared_words,
     repeat_messages, debounced_notices, previous_exchange, last_turns, settings_pivot, next_offset, event_numbers, one_edit_words, gate_rules, page_rank, rulings, overclaims, caption_segments,
 )}
 
@@ -246,11 +242,6 @@ def _words(c: str) -> str:
     return f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9]+'), lambda x: length(x) >= 4 and x not in ({_STOP})))"
 
 
-def _route() -> str:
-    cases = " ".join("when regexp_matches(q, '{}') then '{}'".format(p.replace("'", "''"), n) for n, p in routes.ROUTES)
-    return f"case when trim(q) = '' then 'empty' {cases} else 'agent' end"
-
-
 _MON = "lpad(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], {0})::varchar, 2, '0')"
 _NAMES = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 _ISO = rf"""case when regexp_matches(s, '\b20[0-9]{{2}}-[0-9]{{2}}') then regexp_extract(s, '\b(20[0-9]{{2}})-([0-9]{{2}})', 1) || '-' || regexp_extract(s, '\b(20[0-9]{{2}})-([0-9]{{2}})', 2) || '-' || coalesce(nullif(regexp_extract(s, '\b20[0-9]{{2}}-[0-9]{{2}}-([0-9]{{2}})', 1), ''), '01')
@@ -286,7 +277,6 @@ SQL = {
       from (select raw_doc_id, n, text, greatest(1, coalesce(list_min(list_filter([strpos(lower(text), 'market'), strpos(lower(text), 'percent')], lambda p: p > 0)), 1) - 66) as st from doc_chunks where text is not null)""",
     "sentence_counts": rf"""select id, case when summary is null or trim(summary) = '' then 0 else len(list_filter(string_split(regexp_replace(trim(regexp_replace(summary, '\s+', ' ', 'g')), '([.!?](?:\s*\[[0-9, –-]+\])*)\s+([A-Z"“''(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s) <> '')) end::int as sentences from {_I}""",
     "shared_words": f"select id, len(list_intersect({_words('summary')}, {_words('title')}))::int as shared from {_I}",
-    "message_routes": f"select {_route()} as route, count(*) as messages from (select lower(coalesce(question, '')) as q from {_C}) group by 1",
     "repeat_messages": "select event_id, user_id from (select event_id, user_id, ts - lag(ts) over (partition by user_id, event_type order by ts, event_id) <= interval 2 minute as again from events) where again",
     "debounced_notices": "select user_id from events where event_type = 'error' group by 1 having max(ts) < timestamp '2024-01-29 18:00:00'",
     "previous_exchange": f"select id, lag(id) over w as before, lead(id) over w as after from {_C} window w as (partition by chat_id order by created_at, id)",
@@ -301,5 +291,5 @@ SQL = {
       + case when length(markdown) > 3000 then 1 else 0 end + {_BOOST})::int as score from raw_docs)) where k <= 2 order by score desc, id limit 40""",
     "rulings": f"select company, case when bool_or(score >= 7) then 'confirmed' when bool_and(coalesce(score, 0) <= 3) then 'ruled out' else 'unconfirmed' end as ruling, count(*) as items from (select lower(trim(structured::json ->> '$.company')) as company, score from {_I}) where company is not null and company <> '' group by 1",
     "overclaims": rf"select id, coalesce(regexp_matches(lower(summary), '\b(confirm(s|ed)?|verified|proven|guaranteed|certainly)\b'), false) as firm, regexp_replace(summary, '(?i)\b(confirmed|verified|proven)\b', 'reported', 'g') as softened from {_I}",
-    "caption_segments": "select event_id, round((event_id * 1000 + 500) / 1000.0::double, 2) as start, 'a ' || event_type || ' b' as text from events where event_id < 2000",
+    "caption_segments": "select event_id, round((event_id * 1000 + 500) / 1000.0::double, 2) as start, 'a ' || event_type || ' b' as text from events",
 }

@@ -424,7 +424,8 @@ class History:
         self._save([])
 
     def _shards(self, words: int) -> int:
-        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-words // (4 * SHARD_ROWS)))
+        # several shards a partition, so that they spread evenly when they are hashed to tasks
+        return max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-words // (4 * SHARD_ROWS)))
 
     def _mark(self, array: DataFrame, rows: DataFrame, folder: str, *more: DataFrame) -> None:
         """Stores how much of each body is hot: (doc, long, short)."""

@@ -2,7 +2,7 @@
 
 A spelling is read into a form: for organisations the distinctive words and the words of their kind (Energy, Growth
 Fund, Data Protection Office), for people given name, initials and surname. Which words name a kind is counted over all
-spellings; shortened ones are resolved against these. Forms of one kind are a metric space under the least edit distance
+spellings; shortened ones are resolved against these, by the kind words beside them where several fit. Forms of one kind are a metric space under the least edit distance
 over pairings of their words (true Damerau-Levenshtein, any number of edits between a pair's letters); forms of
 different kinds are infinitely far apart. Each form goes to its nearest pivot's cell and, by the triangle inequality, to
 every cell in whose reach a form within the radius may lie; inside a cell the join is exact. Forms that leave something
@@ -14,9 +14,9 @@ delivered twice counts once; a spelling that can mean two entities is linked to
 
 from __future__ import annotations
 
-import itertools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +31,8 @@ RADIUS = 2
 #: A word names a kind if it is in this share of the spellings, and stands beside at least KIND_BESIDE other words.
 KIND_SHARE, KIND_BESIDE = 0.006, 12
 CELL = 256
-MOST_PIVOTS = 512
+#: Most pivots of a space, and forms that are compared with each other at once; larger cells are compared block by block.
+MOST_PIVOTS, BLOCK = 512, 4096
 
 # Fixed values.
 PLACEHOLDERS = ["n/a", "undisclosed", "na", "none", "null", "-", "unknown", "tbd"]
@@ -77,15 +78,54 @@ def damerau(a: str, b: str, most: int) -> int:
     return min(d[-1][-1], most + 1)
 
 
+def assignment(cost: list[list[int]]) -> int:
+    """The least sum of one entry in each row and column, by shortest augmenting paths."""
+    n = len(cost)
+    row, col, owner, big = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1), 10**9
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, back, seen = [big] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while owner[at]:
+            seen[at] = True
+            k, step, to = owner[at], big, 0
+            for j in range(1, n + 1):
+                if not seen[j]:
+                    now = cost[k - 1][j - 1] - row[k] - col[j]
+                    if now < least[j]:
+                        least[j], back[j] = now, at
+                    if least[j] < step:
+                        step, to = least[j], j
+            for j in range(n + 1):
+                if seen[j]:
+                    row[owner[j]] += step
+                    col[j] -= step
+                else:
+                    least[j] -= step
+            at = to
+        while at:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    return sum(cost[owner[j] - 1][j - 1] for j in range(1, n + 1))
+
+
 def distance(a: str, b: str, most: int) -> int:
     """The least sum of edit distances over pairings of the words of two forms with as many words each."""
+    if a == b:
+        return 0
     x, y = a.split(), b.split()
     if len(x) != len(y):
         return most + 1
-    if len(x) == 1:
-        return damerau(a, b, most)
-    ways = itertools.permutations(y) if len(y) <= 3 else [tuple(y)]
-    return min(min(sum(damerau(p, q, most) for p, q in zip(x, w)) for w in ways), most + 1)
+    # equal words are paired in some best pairing, since the words' distance is a metric
+    both = Counter(x) & Counter(y)
+    x, y = list((Counter(x) - both).elements()), list((Counter(y) - both).elements())
+    if len(x) > most:
+        return most + 1
+    if len(x) <= 1:
+        return damerau(x[0], y[0], most) if x else 0
+    cost = [[damerau(p, q, most) for q in y] for p in x]
+    if len(x) == 2:
+        return min(cost[0][0] + cost[1][1], cost[0][1] + cost[1][0], most + 1)
+    return min(assignment(cost), most + 1)
 
 
 def fold(name: str) -> str:
@@ -126,30 +166,31 @@ class Kinds:
     """The words that name kinds of organisations, and what shortened ones stand for."""
 
     def __init__(self, kinds: set[str], pairs: set[tuple[str, str]]):
-        self.kinds = kinds
+        self.kinds, self.pairs = kinds, pairs
         self.initials: dict[str, tuple[str, ...]] = {}
         for a, b in sorted(pairs):
             self.initials.setdefault(a[0] + b[0], (a, b))
-        self.cache: dict[str, tuple[str, ...]] = {}
+        self.cache: dict[tuple[str, tuple[str, ...]], tuple[str, ...]] = {}
 
-    def read(self, t: str) -> tuple[str, ...]:
-        """The kind words that a word stands for, () if none."""
+    def read(self, t: str, beside: tuple[str, ...] = ()) -> tuple[str, ...]:
+        """The kind words that a word stands for, () if none; of several the one that is used with the kind words ``beside`` it."""
         if t in self.kinds:
             return (t,)
-        if t not in self.cache:
-            found = [g for g in self.kinds if _abbreviates(t, g)] if 2 <= len(t) <= 9 else []
+        if (t, beside) not in self.cache:
+            found = [g for g in self.kinds if _abbreviates(t, g)]
             begin = [g for g in found if g.startswith(t)]
             best = begin or found
-            if t in self.initials and (len(t) == 2 or not begin):
+            used = [g for g in best if any((g, x) in self.pairs or (x, g) in self.pairs for x in beside)]
+            if t in self.initials and (len(t) == 2 or not begin) and not used:
                 out = self.initials[t]
             elif best:
-                out = (min(best, key=lambda g: (len(g), g)),)
+                out = (min(used or best, key=lambda g: (len(g), g)),)
             else:
                 near = [g for g in self.kinds if len(g) > 5 and abs(len(g) - len(t)) < 2 and g[0] == t[0] and damerau(t, g, 1) <= 1] if len(t) > 5 else []
                 near = near or [g for g in self.kinds if _same_stem(t, g)]
                 out = (min(near),) if near else ()
-            self.cache[t] = out
-        return self.cache[t]
+            self.cache[t, beside] = out
+        return self.cache[t, beside]
 
 
 def _deletions(w: str) -> set[str]:
@@ -180,10 +221,11 @@ def form(name: str, kinds: Kinds) -> tuple[str, str, str, str]:
     kind: list[str] = []
     core: list[str] = []
     sure = any(kinds.read(w) for w in words if w not in _SHORT)
+    beside = tuple(sorted(kinds.kinds & set(words)))
     for w in words:
-        k = kinds.read(w)
+        k = kinds.read(w, beside)
         if k and (sure or w not in _SHORT):
-            kind += ["growth" if x == "group" and w == "gr" and "fund" in words else x for x in k]
+            kind += k
         else:
             core.append(w)
     full = [w for w in people if len(w) > 1]
@@ -214,26 +256,32 @@ def _counted(cores: list[str]) -> np.ndarray:
 
 
 def near_in_cell(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Pairs (a, b) of form numbers within the radius, one of them at home here: triangle and letter bounds first, then the metric."""
+    """Pairs (a, b) of form numbers within the radius, a row that is ``left`` with one that is ``right``: triangle and letter bounds first, then the metric."""
     empty = pd.DataFrame({"a": np.array([], "int64"), "b": np.array([], "int64"), "d": np.array([], "int32")})
-    if len(pdf) < 2:
+    mine, pdf = pdf[pdf["left"].to_numpy().astype(bool)], pdf[pdf["right"].to_numpy().astype(bool)]
+    if not len(pdf) or not len(mine):
         return empty
-    cores, ids, home = pdf["core"].tolist(), pdf["form"].to_numpy(), pdf["home"].to_numpy()
-    letters = _counted(cores)
-    reach = np.array(pdf["reach"].tolist(), dtype=np.int16)
+    cores, ids = pdf["core"].tolist(), pdf["form"].to_numpy()
+    letters, reach = _counted(cores), np.array(pdf["reach"].tolist(), dtype=np.int16)
     sizes = np.array([c.count(" ") for c in cores])
+    own, own_ids = mine["core"].tolist(), mine["form"].to_numpy()
+    own_letters, own_reach = _counted(own), np.array(mine["reach"].tolist(), dtype=np.int16)
     out = []
-    for i in np.nonzero(home)[0]:
-        ok = (np.abs(letters - letters[i]).sum(axis=1) <= 2 * radius) & (sizes == sizes[i]) & (np.abs(reach - reach[i]).max(axis=1) <= radius) & (ids != ids[i])
+    for i in range(len(own)):
+        ok = (np.abs(letters - own_letters[i]).sum(axis=1) <= 2 * radius) & (sizes == own[i].count(" ")) & (np.abs(reach - own_reach[i]).max(axis=1) <= radius) & (ids != own_ids[i])
         for j in np.nonzero(ok)[0]:
-            d = distance(cores[i], cores[j], radius)
+            d = distance(own[i], cores[j], radius)
             if d <= radius:
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), d))
+                out.append((min(own_ids[i], ids[j]), max(own_ids[i], ids[j]), d))
     return pd.DataFrame(out, columns=["a", "b", "d"]).drop_duplicates() if out else empty
 
 
-def radius_join(forms: DataFrame, radius: int = RADIUS, cell: int = CELL, most_pivots: int = MOST_PIVOTS) -> DataFrame:
-    """(a, b, d): all pairs of (form, space, core) in one space within ``radius`` of each other, one of them ``asked`` if there is such a column."""
+def radius_join(forms: DataFrame, radius: int = RADIUS, cell: int = CELL, most_pivots: int = MOST_PIVOTS, block: int = BLOCK) -> DataFrame:
+    """(a, b, d): all pairs of (form, space, core) in one space within ``radius`` of each other, one of them ``asked`` if there is such a column.
+
+    A form is at home in its nearest pivot's cell and stands in every cell where one within the radius may be at home.
+    Cells beyond ``block`` forms are cut into blocks, each of which meets every other: no task holds a whole cell.
+    """
     forms = forms if "asked" in forms.columns else forms.withColumn("asked", F.lit(True))
     sizes = forms.groupBy("space").agg(F.least(F.lit(most_pivots), F.ceil(F.count("*") / cell)).cast("int").alias("k"))
     order = F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("core"), "core"))
@@ -249,8 +297,20 @@ def radius_join(forms: DataFrame, radius: int = RADIUS, cell: int = CELL, most_p
             flat = [(f, s, c, r, k, h and q) for f, s, c, q, r, own in zip(pdf["form"], pdf["space"], pdf["core"], pdf["asked"], reach, cells) for k, h in own]
             yield pd.DataFrame(flat, columns=["form", "space", "core", "reach", "cell", "home"])
 
-    placed = forms.join(pivots, "space").mapInPandas(assign, "form long, space string, core string, reach array<int>, cell int, home boolean")
-    return placed.groupBy("space", "cell").applyInPandas(lambda pdf: near_in_cell(pdf, radius), "a long, b long, d int").distinct()
+    placed = materialize(forms.join(pivots, "space").mapInPandas(assign, "form long, space string, core string, reach array<int>, cell int, home boolean"), "placed")
+    many = placed.groupBy("space", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    one = lambda df: df.select("form", "core", "reach", "space", "cell", "i", "j", "left", "right")
+    whole = placed.withColumn("left", F.col("home")).withColumn("right", F.lit(True)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    if many.isEmpty():
+        rows = one(whole)
+    else:
+        many = materialize(many, "blocks")
+        cut = placed.join(many, ["space", "cell"]).withColumn("b", F.pmod(F.xxhash64("form"), "blocks").cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        lefts = cut.where("home").withColumn("i", F.col("b")).withColumn("j", every).withColumn("left", F.lit(True)).withColumn("right", F.lit(False))
+        rights = cut.withColumn("j", F.col("b")).withColumn("i", every).withColumn("left", F.lit(False)).withColumn("right", F.lit(True))
+        rows = one(whole.join(many, ["space", "cell"], "left_anti")).unionByName(one(lefts)).unionByName(one(rights))
+    return rows.groupBy("space", "cell", "i", "j").applyInPandas(lambda pdf: near_in_cell(pdf, radius), "a long, b long, d int").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -369,6 +429,7 @@ def link_names(names: DataFrame, radius: int = RADIUS) -> DataFrame:
     near = radius_join(pool, radius, cell=16 * CELL)
     near = near.select(F.col("a").alias("x"), F.col("b").alias("y")).union(near.select("b", "a"))
     near = near.join(pool.where("asked").select(F.col("form").alias("x")), "x").join(roots.select(F.col("form").alias("y"), "root"), "y")
+    near = materialize(near, "near")
     single = materialize(single.unionByName(one_of(near.select(F.col("x").alias("form"), "root"))), "single")
     # what is still open: an initial and a dropped word under one distinctive word and kind
     open_ = weak.where(org & (F.col("space") != "o:")).join(single, "form", "left_anti").join(hits.select("form"), "form", "left_anti")
@@ -376,8 +437,13 @@ def link_names(names: DataFrame, radius: int = RADIUS) -> DataFrame:
     open_ = materialize(open_.select("form", F.xxhash64("space", rest_key).alias("root"), rest_key.alias("word")).where("word is not null"), "open")
     # and forms without a kind that have that word
     bare_left = left.select("form", F.explode(w2).alias("word")).join(single.select("form"), "form", "left_anti")
-    bare_left = one_of(bare_left.join(open_.select("word", "root"), "word").select("form", "root"))
-    placed = roots.select("form", "root").unionByName(single).unionByName(open_.drop("word")).unionByName(bare_left)
+    bare_left = materialize(one_of(bare_left.join(open_.select("word", "root"), "word").select("form", "root")), "bare")
+    # forms of several words without a kind that mean nothing else, mistyped: whole ones in a space of their own
+    alone = left.join(near.select(F.col("x").alias("form")), "form", "left_anti").join(bare_left.select("form"), "form", "left_anti")
+    alone = materialize(alone.select("form", F.concat(F.lit("alone#"), size.cast("string")).alias("space"), "core"), "alone")
+    met = radius_join(alone, radius).join(side("a"), "a").join(side("b"), "b").where(long)
+    alone = components(alone.select(F.col("form").alias("node")), met).select(F.col("node").alias("form"), "root")
+    placed = roots.select("form", "root").unionByName(single).unionByName(open_.drop("word")).unionByName(bare_left).unionByName(alone)
     return materialize(parsed.select("name", "form").join(placed, "form", "left").select("name", F.coalesce("root", "form").alias("entity")), "linked")
 
 

@@ -68,3 +68,37 @@ def test_people_meet_under_every_given_name(spark):
     names = spark.createDataFrame([(x,) for g in groups for x in g], "name string")
     got = {(r.name_a, r.name_b) for r in n.same_pairs(n.link_names(names)).collect()}
     assert got == {(a, b) for g in groups for a in g for b in g if a < b}
+
+
+def test_pairings_of_any_number_of_words():
+    import itertools
+    import random
+
+    rnd = random.Random(9)
+    for _ in range(60):
+        m = [[rnd.randrange(9) for _ in range(5)] for _ in range(5)]
+        assert n.assignment(m) == min(sum(m[i][p[i]] for i in range(5)) for p in itertools.permutations(range(5)))
+    assert n.distance("beta alfa gamma delta", "alfa beta gamma delta", 2) == 0
+    assert n.distance("alder brook cedar dorne energy", "brook cedar dorne energy zlder", 2) == 1
+    assert n.distance("aa bb cc", "xx yy zz", 2) == 3 and n.distance("aa bb", "aa bb cc", 2) == 3
+
+
+def test_large_cells_are_compared_block_by_block(spark):
+    import itertools
+
+    cores = [f"{a}{b}{c}lu" for a in "bdgk" for b in "aeio" for c in "mnpr"]
+    df = spark.createDataFrame([(i, "s", c, i % 3 == 0) for i, c in enumerate(cores)], "form long, space string, core string, asked boolean")
+    got = {(r.a, r.b) for r in n.radius_join(df, 1, cell=1000, block=10).collect()}
+    assert got == {(i, j) for i, j in itertools.combinations(range(len(cores)), 2) if (i % 3 == 0 or j % 3 == 0) and n.damerau(cores[i], cores[j], 1) <= 1}
+
+
+def test_names_without_a_known_kind(spark):
+    groups = [["Norvak Tilusema", "Novrak Tilusema", "NORVAK TILUSEMA"], ["Sobrina Keldovat", "Keldovat Sobrina"], ["Ubrika Vortemi"]]
+    names = spark.createDataFrame([(x,) for g in groups for x in g], "name string")
+    got = {(r.name_a, r.name_b) for r in n.same_pairs(n.link_names(names)).collect()}
+    assert got == {(a, b) for g in groups for a in g for b in g if a < b}
+
+
+def test_short_kind_words_are_read_with_what_stands_beside_them():
+    kinds = n.Kinds({"growth", "group", "fund", "solutions"}, {("growth", "fund")})
+    assert kinds.read("gr", ("fund",)) == ("growth",) and kinds.read("gr") == ("group",)

@@ -188,3 +188,11 @@ def cron_matches(expr: str, at: Column, zone: str = "+06:00") -> Column:
     day, weekday = F.dayofmonth(t).isin(list(c["day"])), (F.dayofweek(t) - 1).isin(list(c["weekday"]))
     days = (day & weekday) if c["any_day"] or c["any_weekday"] else (day | weekday)
     return F.minute(t).isin(list(c["minute"])) & F.hour(t).isin(list(c["hour"])) & F.month(t).isin(list(c["month"])) & days
+
+
+def cron_fired(expr: str, after: Column, until: Column, zone: str = "+06:00", most_minutes: int = 7 * 1440) -> Column:
+    """Whether a schedule fires in a whole minute after ``after`` and up to ``until``, which lie at most ``most_minutes`` apart."""
+    first = F.date_trunc("minute", after) + F.expr("interval 1 minute")
+    last = F.least(F.date_trunc("minute", until), first + F.make_interval(mins=F.lit(most_minutes)))
+    minutes = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 minute")))
+    return F.coalesce(F.exists(minutes, lambda t: cron_matches(expr, t, zone)), F.lit(False))

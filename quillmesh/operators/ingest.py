@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from quillmesh.functions.urls import canon, host_of
 
 
-def dedupe_batch(batch: DataFrame, seen: DataFrame, order: str = "rec_id") -> DataFrame:
-    """Records of ``batch`` (url, order, ...) with ``canonical``: readable, unseen, and the first of their canonical form."""
-    first = batch.withColumn("canonical", canon(F.col("url"))).where("canonical is not null")
+def first_forms(batch: DataFrame, order: str = "rec_id") -> DataFrame:
+    """Records of ``batch`` (url, order, ...) with ``canonical``: readable, and the first of their canonical form."""
+    forms = batch.withColumn("canonical", canon(F.col("url"))).where("canonical is not null")
     rest = [c for c in batch.columns if c != order]
-    first = first.groupBy("canonical").agg(F.min(F.struct(order, *rest)).alias("r"))
+    return forms.groupBy("canonical").agg(F.min(F.struct(order, *rest)).alias("r")).select("canonical", "r.*")
+
+
+def dedupe_batch(batch: DataFrame, seen: DataFrame, order: str = "rec_id") -> DataFrame:
+    """The first records of each canonical form that ``seen`` (canonical_url) doesn't have in any spelling."""
+    first = first_forms(batch, order)
     old = seen.select(canon(F.col("canonical_url")).alias("canonical")).where("canonical is not null").distinct()
-    return first.join(old, "canonical", "left_anti").select("canonical", "r.*")
+    return first.join(old, "canonical", "left_anti")
 
 
 def domain_suffixes(host: Column) -> Column:
@@ -38,8 +43,14 @@ def match_feeds(hosts: DataFrame, feeds: DataFrame) -> DataFrame:
     return met.groupBy("host", *rest).agg(best).select("host", *rest, "b.feed_id")
 
 
-def page_text(fit: Column, raw: Column, fallback: Column, least: int = 400, least_fallback: int = 200) -> Column:
-    """The cleaned text if it is long enough, else the raw one; the fallback's only if both are short and it isn't."""
+def page_text(fit: Column, raw: Column, fallback: Column, least: int = 400, least_fallback: int = 200, url: Column | None = None) -> Column:
+    """The cleaned text if it is long enough, else the raw one; the fallback's only if both are short and it isn't.
+
+    Of a ``url`` that leads to a PDF only the fallback's counts.
+    """
+    if url is not None:
+        pdf = F.coalesce(F.lower(F.regexp_replace(url, "[?#].*$", "")).endswith(".pdf"), F.lit(False))
+        fit, raw = (F.when(~pdf, c) for c in (fit, raw))
     primary = F.when(F.length(F.coalesce(fit, F.lit(""))) >= least, fit).otherwise(raw)
     enough = F.greatest(F.length(F.coalesce(fit, F.lit(""))), F.length(F.coalesce(raw, F.lit("")))) >= least
     return F.when(enough, primary).when(F.length(fallback) >= least_fallback, fallback)

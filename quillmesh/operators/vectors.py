@@ -63,16 +63,18 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -> D
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest_older(rows: DataFrame, block: int = 4096, group: str | None = None) -> DataFrame:
+def nearest_older(rows: DataFrame, block: int = 4096, group: str | None = None, asked: DataFrame | None = None) -> DataFrame:
     """(id, older, sim): of each row (id, v) the most similar one with a lower id, ties to the lower; exact.
 
-    With ``group``, rows of the same group don't count.
+    With ``group``, rows of the same group don't count; with ``asked`` (id) only these rows are answered.
     """
     n = _blocks(rows, block)
     g = F.col(group) if group else F.lit(None).cast("long")
     base = rows.select("id", "v", g.alias("g"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = base.withColumnRenamed("b", "i").withColumn("j", every)
+    left = base if asked is None else base.join(asked.select("id"), "id", "left_semi")
+    # new names for the columns both sides take from the same rows
+    left = left.select("id", "v", "g", F.col("b").alias("i")).select(*[F.col(c).alias(c) for c in ("id", "v", "g", "i")]).withColumn("j", every)
     right = base.withColumnRenamed("b", "j").withColumn("i", every)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

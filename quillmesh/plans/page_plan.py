@@ -70,7 +70,7 @@ def streamed_event_counts(s, d):
         new = batch.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
         return new if base is None else state.add_counts(base, new, ["user_id", "event_type"], "n")
 
-    feeds.into_table(stream, merge, f"{home}/table", f"{home}/checkpoint").awaitTermination()
+    feeds.into_table(stream, merge, ["user_id", "event_type"], f"{home}/table", f"{home}/checkpoint").awaitTermination()
     return feeds.current(s, f"{home}/table")
 
 

@@ -22,10 +22,10 @@ def test_snapshots(spark, tmp_path):
         new = batch.groupBy("k").agg(F.count("*").alias("n"))
         return new if base is None else state.add_counts(base, new, ["k"], "n")
 
-    for keys in (["a", "b", "a"], ["b"]):
+    for keys in (["a", "b", "a"], ["b"], ["c"]):
         spark.createDataFrame([(k,) for k in keys], "k string").coalesce(1).write.mode("append").parquet(source)
-        feeds.into_table(spark.readStream.schema("k string").parquet(source), merge, path, checkpoint).awaitTermination()
-    assert {r.k: r.n for r in feeds.current(spark, path).collect()} == {"a": 2, "b": 2}
+        feeds.into_table(spark.readStream.schema("k string").parquet(source), merge, ["k"], path, checkpoint).awaitTermination()
+    assert {r.k: r.n for r in feeds.current(spark, path).collect()} == {"a": 2, "b": 2, "c": 1}
 
 
 def test_repeats_within_the_watermark(spark, tmp_path):
@@ -67,3 +67,55 @@ def test_headlines_hedge(spark):
     one = spark.range(1)
     assert one.select(checks.wide_spread(F.array(F.lit("100"), F.lit("$110"))).alias("v")).first().v is True
     assert checks.query_templates("chips", "count", "2026-01-01")[0] == "chips number 2026"
+
+
+def stream_of(spark, tmp_path, name, parts, schema, **casts):
+    """A stream with one micro-batch a part."""
+    path = str(tmp_path / name)
+    for p in parts:
+        df = spark.createDataFrame(p, schema)
+        for c, t in casts.items():
+            df = df.withColumn(c, F.col(c).cast(t))
+        df.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_run_ledger(spark, tmp_path):
+    parts = [[(1, 1, "started", None, None, None, None), (2, 2, "started", None, None, None, None)], [(1, 3, "finished", 3, 3, 2, None)]]
+    s = stream_of(spark, tmp_path, "runs", parts, "id long, at long, kind string, urls_new int, scraped int, made int, error string")
+    feeds.run_ledger(s, str(tmp_path / "ledger"), str(tmp_path / "cp")).awaitTermination()
+    assert {r.id: r.status for r in feeds.current(spark, str(tmp_path / "ledger")).collect()} == {1: "partial", 2: "running"}
+
+
+def test_brief_cursors(spark, tmp_path):
+    day = lambda d: f"2026-01-{d:02d} 00:00:00"
+    parts = [[(7, 1, day(10), False, "", None), (7, 2, day(11), True, "", None)], [(7, 3, day(12), False, "chips", None), (7, 4, day(13), False, "", None), (8, 5, day(13), False, "", 1)]]
+    s = stream_of(spark, tmp_path, "asks", parts, "chat_id long, id long, at string, more boolean, topic string, days int", at="timestamp")
+    q = feeds.brief_cursors(s).writeStream.format("memory").queryName("cursors").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.id: (r.d, r.page) for r in spark.table("cursors").select("id", "page", F.date_format(F.timestamp_seconds("since"), "d").alias("d")).collect()}
+    assert got == {1: ("3", 0), 2: ("3", 1), 3: ("10", 0), 4: ("10", 0), 5: ("12", 0)}
+
+
+def test_drain_yields_to_a_live_run(spark, tmp_path):
+    s = stream_of(spark, tmp_path, "ticks", [[(1,)], [(2,)]], "t long")
+    done, busy = [], iter([True, False])
+    feeds.drain(s, lambda sp: sp.range(5, 40).toDF("id"), lambda sp: next(busy), lambda df: done.append([r.id for r in df.collect()]), str(tmp_path / "cp")).awaitTermination()
+    assert done == [list(range(5, 17))]
+
+
+def test_stories_in_order(spark, tmp_path):
+    a, b, near_a = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [1.0, 0.05, 0.1]
+    parts = [[(1, a), (2, b), (3, near_a)], [(4, near_a), (5, b), (6, [0.0, 0.0, 1.0])], [(7, [0.0, 0.05, 1.0])]]
+    s = stream_of(spark, tmp_path, "items", parts, "id long, v array<double>")
+    feeds.assign_stories(s, str(tmp_path / "stories"), str(tmp_path / "cp")).awaitTermination()
+    assert {r.id: r.root for r in spark.read.parquet(str(tmp_path / "stories")).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 2, 6: 6, 7: 6}
+
+
+def test_recency_holds_in_a_stream(spark, tmp_path):
+    from quillmesh.sources import readers
+
+    s = stream_of(spark, tmp_path, "entries", [[("a", "Mon, 05 Jan 2026 10:00:00 GMT"), ("b", "1 Jan 2026 10:00 +0000"), ("c", None), ("d", "soon")]], "url string, published string")
+    q = readers.recent(s, F.lit("2026-01-06 00:00:00").cast("timestamp")).writeStream.format("memory").queryName("fresh_entries").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.url for r in spark.table("fresh_entries").collect()) == ["a", "c"]

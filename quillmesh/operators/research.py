@@ -10,16 +10,16 @@ from quillmesh.functions import text as T
 
 
 def origin_pages(claims: DataFrame, pages: DataFrame, keep: int = 2, around: int = 1200) -> DataFrame:
-    """(claim, page, date, excerpt): of each claim (claim, text) the earliest dated pages (page, date, text) that have one of its figures.
+    """(claim, page, date, excerpt): of each claim (topic, claim, text) the earliest dated pages (topic, page, date, text) of its topic that have one of its figures.
 
-    Claims and pages meet on figures: every page's figures are taken out once.
+    Claims and pages meet on topic and figure: every page's figures are taken out once.
     """
     number = r"(?<![\d.])(\d+(?:\.\d+)?)(?!\d)"
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"(\d),(\d{3})", "$1$2")
-    dated = pages.select("page", T.iso_date(F.col("date")).alias("date"), plain.alias("text")).where("date != ''")
-    told = dated.select("page", "date", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(number), F.lit(1)))).alias("figure"))
-    asked = claims.select("claim", F.posexplode(E.claim_figures(F.col("text"))).alias("k", "figure"))
-    met = asked.join(told, "figure").groupBy("claim", "page", "date").agg(F.min_by("figure", "k").alias("figure"))
+    dated = pages.select("topic", "page", T.iso_date(F.col("date")).alias("date"), plain.alias("text")).where("date != ''")
+    told = dated.select("topic", "page", "date", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(number), F.lit(1)))).alias("figure"))
+    asked = claims.select("topic", "claim", F.posexplode(E.claim_figures(F.col("text"))).alias("k", "figure"))
+    met = asked.join(told, ["topic", "figure"]).groupBy("claim", "page", "date").agg(F.min_by("figure", "k").alias("figure"))
     rank = F.row_number().over(Window.partitionBy("claim").orderBy("date", "page"))
     best = met.withColumn("k", rank).where(F.col("k") <= keep)
     at = F.position(F.col("figure"), F.col("text")) - 1

@@ -72,8 +72,9 @@ def investor_rank(s, d):
 
 
 def linked_owner(s, d):
-    """Per scraper: the host path most linked."""
-    return checks.named_owner(table(s, d, "raw_docs").select(F.col("scraper").alias("topic"), F.col("markdown").alias("text")), 1)
+    """Per source of the url records: the owner and name that its links lead to most, from three links on."""
+    u = table(s, d, "url_batches").dropDuplicates(["rec_id"]).where("source is not null")
+    return checks.named_owner(u.select(F.col("source").alias("topic"), F.col("url").alias("text")))
 
 
 def item_notes(s, d):
@@ -104,7 +105,14 @@ _SENT = r"""list_filter(string_split(regexp_replace(trim(regexp_replace({0}, '\s
 _QUALITY = r"\b(good|best|top|great|worth|important|interesting|strong|quality|high-?scor\w*|scored?|rated|must-read)\b"
 _TIME = r"\b(today|tonight|yesterday|week(end)?|month|year|recent(ly)?|latest|new(est)?|lately|hours?|days?|since|past|last|this|ago|fresh|current(ly)?|20[0-9]{2})\b"
 
+_FIRST = f"(select run_id, arg_min(summary, id) as summary from {_I} where run_id is not null and summary is not null group by 1)"
+_SAID = f"(select run_id as answer, summary, unnest(range(len(ss))) as k, ss from (select run_id, summary, {_SENT.format(chr(39).join(['summary || ', ' It cost 77,123 dollars [1]. Nothing like it was seen elsewhere [9].', '']))} as ss from {_FIRST}))"
+
 SQL = {
+    "near_names": "select id from raw_docs where regexp_matches(lower(markdown), 'market[\\s\\S]{0,54}percent|percent[\\s\\S]{0,53}market')",
+    "linked_owner": """select topic, owner, links from (select *, row_number() over (partition by topic order by links desc, owner) as k from (select topic, owner, count(*) as links from
+      (select source as topic, unnest(regexp_extract_all(url, 'https?://(?:www\\.)?[a-z0-9.-]+/([A-Za-z0-9_-]+/[A-Za-z0-9_.-]+)', 1)) as owner from (select distinct on (rec_id) * from url_batches order by rec_id) where source is not null) group by 1, 2) where links >= 3) where k = 1""",
+    "cited_answers": f"""select answer, k::int as k, ss[k + 1] as sentence, case when contains(ss[k + 1], '[9]') then 'no such item' when contains(ss[k + 1], '[1]') then 'figures: 77123' else 'no source' end as problem from {_SAID} where length(ss[k + 1]) >= 25 or contains(ss[k + 1], '[')""",
     "quoted_summaries": f"""select i.id, coalesce(len(p) > 0 and len(list_filter(p, lambda x: not contains(page, x))) = 0, false) as found from (select id, raw_doc_id, case when summary is not null then list_filter(list_transform(regexp_split_to_array(summary, '…|\\.\\.\\.'),
       lambda x: {_P.format('x')}), lambda x: length(x) >= 8) end as p from {_I}) i join (select id as raw_doc_id, {_P.format('markdown')} as page from raw_docs) d using (raw_doc_id)""",
     "best_quotes": f"""with c as (select id as claim, raw_doc_id as topic, unnest({_WORDS.format('angle')}) as w from {_I} where angle is not null), q as (select distinct topic, quote from (select raw_doc_id as topic, unnest({_SENT.format('text')}) as quote from doc_chunks) where length(quote) between 30 and 300),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import answer_plan, feed_plan, message_plan, page_plan, text_plan, urls_plan
+from quillmesh.plans import answer_plan, evidence_plan, feed_plan, message_plan, page_plan, text_plan, urls_plan
 
-MODULES = (urls_plan, feed_plan, text_plan, message_plan, answer_plan, page_plan)
+MODULES = (urls_plan, feed_plan, text_plan, message_plan, answer_plan, evidence_plan, page_plan)
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmesh import plugins
 from quillmesh.operators import pages, state
+from quillmesh.plans.urls_plan import canon_sql
 from quillmesh.session import shared_dir, table
 from quillmesh.streaming import feeds
 
@@ -76,4 +77,9 @@ def streamed_event_counts(s, d):
 
 QUERIES = {f.__name__: f for f in (dropped_lines, dropped_reasons, page_passages, transcript_paragraphs, snapped_points, embedded_items, judged_pairs, streamed_urls, streamed_event_counts)}
 
-SQL = {"streamed_event_counts": "select user_id, event_type, count(*) as n from events group by 1, 2"}
+_REC = "(select distinct on (rec_id) * from url_batches order by rec_id)"
+
+SQL = {
+    "streamed_urls": f"select canonical as canonical_url, arg_min_null(source, rec_id) as source from ({canon_sql(_REC, 'rec_id, source')}) where canonical is not null group by 1",
+    "streamed_event_counts": "select user_id, event_type, count(*) as n from events group by 1, 2",
+}

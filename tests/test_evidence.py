@@ -85,8 +85,8 @@ def test_answers(spark):
 
 
 def test_origins_and_quotes(spark):
-    claims = spark.createDataFrame([(1, "It cut 1,200 jobs in 2024, some 7 of them abroad"), (2, "no figure")], "claim int, text string")
-    pages = spark.createDataFrame([(1, "2025-03-01", "then 1,200 jobs"), (2, "2024-05-01", "of 1200 people"), (3, None, "1200"), (4, "2023", "11200 or 1200.5"), (5, "2025-01-01", "x 1200 y")], "page int, date string, text string")
+    claims = spark.createDataFrame([("t", 1, "It cut 1,200 jobs in 2024, some 7 of them abroad"), ("t", 2, "no figure"), ("u", 3, "1200")], "topic string, claim int, text string")
+    pages = spark.createDataFrame([(1, "2025-03-01", "then 1,200 jobs"), (2, "2024-05-01", "of 1200 people"), (3, None, "1200"), (4, "2023", "11200 or 1200.5"), (5, "2025-01-01", "x 1200 y")], "page int, date string, text string").withColumn("topic", F.lit("t"))
     assert sorted((r.claim, r.page, r.excerpt) for r in R.origin_pages(claims, pages).collect()) == [(1, 2, "of 1200 people"), (1, 5, "x 1200 y")]
     ents = spark.createDataFrame([("t", "A", "built with Rust", 1, 0), ("t", "B", "written in Go", 0, 2), ("t", "C", "using X", 2, 2), ("t", "D", "unknown", 9, 9), ("t", "E", "using it", 0, 1)], "topic string, name string, why string, claims int, mentions int")
     assert [r.name for r in R.ruled_out_lines(ents).orderBy("name").collect()] == ["A", "C"]

@@ -118,3 +118,11 @@ def test_readers(spark):
     assert rows(readers.url_inputs(urls), "canonical", "title") == [("https://a.example/x", None), ("https://b.example/", "T")]
     meta = spark.createDataFrame([(1, "de", {"en": "u1", "de-AT": "u2"}, {}), (2, None, {}, {"en-orig": "u3", "en": "u4"}), (3, "fr", {"es": "u"}, {"es": "u"})], "id int, language string, manual map<string,string>, auto map<string,string>")
     assert rows(readers.caption_choice(meta), "id", "kind", "url") == [(1, "captions-manual", "u2"), (2, "captions-auto", "u3")]
+
+
+def test_intermediate_tables_can_be_cleaned(spark):
+    from quillmesh import session
+
+    session.clean(spark)
+    df = session.materialize(spark.range(3), "three")
+    assert df.count() == 3 and session.clean(spark) == 1 and session.clean(spark) == 0

@@ -19,6 +19,11 @@ CASES = [
     ("youtube.com/shorts/abcDEF12_-9?t=3", "https://www.youtube.com/watch?v=abcDEF12_-9"),
     ("https://youtu.be/abcDEF12_-9", "https://www.youtube.com/watch?v=abcDEF12_-9"),
     ("https://www.youtube.com/watch?v=short", "https://www.youtube.com/watch?v=short"),
+    ("https://news.example/a/b.html", "https://news.example/a/b.html"),
+    ("https://news.example/ampere/amp/x", "https://news.example/ampere/x"),
+    ("https://news.example/a/amp", "https://news.example/a"),
+    ("https://amp.news.example/a", "https://news.example/a"),
+    ("https://m.youtube.com/live/abcDEF12_-9", "https://www.youtube.com/watch?v=abcDEF12_-9"),
     ("no url", None),
     ("", None),
     (None, None),

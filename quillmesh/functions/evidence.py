@@ -345,3 +345,26 @@ def quotable(quote: Column) -> Column:
     """Whether a quote can be checked by a reader: 20 to 260 characters, six words, no link and no heading."""
     q = _s(quote)
     return F.length(q).between(20, 260) & ~q.rlike(r"https?://|^\W*#") & (F.size(F.split(q, r"\s+")) >= 6)
+
+
+# R-10
+
+
+def initials(c: Column) -> Column:
+    """The first letters of a name's words."""
+    return F.array_join(F.transform(F.filter(F.split(quote_form(c), "[^a-z0-9]+"), lambda w: w != ""), lambda w: F.left(w, F.lit(1))), "")
+
+
+def mentions(text: Column, subject: Column) -> Column:
+    """Whether a text names the subject: as it is, run together, or by its initials as a word (three at least)."""
+    t, s, short = quote_form(text), quote_form(subject), initials(subject)
+    there = t.contains(s) | compact(text).contains(compact(subject))
+    return (s != "") & (there | ((F.length(short) >= 3) & F.rlike(t, F.concat(F.lit(r"\b"), short, F.lit(r"\b")))))
+
+
+def named_fit(name: Column, quote: Column, text: Column, subject: Column) -> Column:
+    """Why a named find is refused: its quote is not in the text, it names the subject itself, or the text doesn't; null for one that fits."""
+    return (
+        F.when(~quote_stands(quote, text), "no such quote").when((_s(name) == "") | (entity_key(name) == entity_key(subject)) | subject_only(name, F.array(subject)), "the subject itself")
+        .when(~compact(quote).contains(entity_key(name)) & ~compact(text).contains(entity_key(name)), "not named").when(~mentions(text, subject), "subject missing")
+    )

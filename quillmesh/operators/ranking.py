@@ -12,6 +12,13 @@ def cap_per_group(rows: DataFrame, group: str, order: list[Column], each: int, t
     return rows.withColumn("_k", rank).where(F.col("_k") <= each).drop("_k").orderBy(*order).limit(total)
 
 
+def nested_caps(rows: DataFrame, page: str, entity: str, order: list[Column], each_page: int = 4, each_entity: int = 2, total: int = 30) -> DataFrame:
+    """At most ``each_page`` rows of a page, of these at most ``each_entity`` of an entity, of these the first ``total``."""
+    first = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    kept = rows.withColumn("_k", first(page)).where(F.col("_k") <= each_page).withColumn("_k", first(entity)).where(F.col("_k") <= each_entity)
+    return kept.drop("_k").orderBy(*order).limit(total)
+
+
 def fair_share(best: DataFrame, topics: int, limit: int, order: list[Column]) -> DataFrame:
     """Of every topic (ord) its first ceil(limit / topics) rows, then the first ``limit`` of all in order of topic and rank."""
     rank = F.row_number().over(Window.partitionBy("ord", "in_filter").orderBy(*order))

@@ -95,7 +95,14 @@ def list_mentions(s, d):
     return _items(s, d).join(runs, "run_id").select("id", F.coalesce(checks.list_mention(F.col("summary"), F.try_element_at("tags", F.lit(1)), F.col("names")), F.lit(False)).alias("weak"))
 
 
-QUERIES = {f.__name__: f for f in (quoted_summaries, near_names, cited_answers, best_quotes, kept_filters, packed_vectors, valid_replies, outdated_items, investor_rank, linked_owner, item_notes, headlines, stemmed_vocabulary, list_mentions)}
+def counted_replies(s, d):
+    """Each run's items as a numbered reply that says it has ten, set right."""
+    lines = F.concat_ws("\n", F.lit("Here are 10 items:"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("id")), 1, 15), lambda i, k: F.concat((k + 1).cast("string"), F.lit(". item "), i.cast("string"))), "\n"))
+    made = _items(s, d).where("run_id is not null").groupBy("run_id").agg(lines.alias("reply"))
+    return made.select("run_id", F.substring_index(checks.counted_reply(F.col("reply")), "\n", 1).alias("head"))
+
+
+QUERIES = {f.__name__: f for f in (quoted_summaries, near_names, cited_answers, best_quotes, kept_filters, packed_vectors, valid_replies, outdated_items, investor_rank, linked_owner, item_notes, headlines, stemmed_vocabulary, list_mentions, counted_replies)}
 
 _I = "(select distinct on (id) * from feed_items order by id)"
 _P = "trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -109,6 +116,7 @@ _FIRST = f"(select run_id, arg_min(summary, id) as summary from {_I} where run_i
 _SAID = f"(select run_id as answer, summary, unnest(range(len(ss))) as k, ss from (select run_id, summary, {_SENT.format(chr(39).join(['summary || ', ' It cost 77,123 dollars [1]. Nothing like it was seen elsewhere [9].', '']))} as ss from {_FIRST}))"
 
 SQL = {
+    "counted_replies": f"select run_id, 'Here are ' || least(count(*), 15) || ' items:' as head from {_I} where run_id is not null group by 1",
     "near_names": "select id from raw_docs where regexp_matches(lower(markdown), 'market[\\s\\S]{0,54}percent|percent[\\s\\S]{0,53}market')",
     "linked_owner": """select topic, owner, links from (select *, row_number() over (partition by topic order by links desc, owner) as k from (select topic, owner, count(*) as links from
       (select source as topic, unnest(regexp_extract_all(url, 'https?://(?:www\\.)?[a-z0-9.-]+/([A-Za-z0-9_-]+/[A-Za-z0-9_.-]+)', 1)) as owner from (select distinct on (rec_id) * from url_batches order by rec_id) where source is not null) group by 1, 2) where links >= 3) where k = 1""",

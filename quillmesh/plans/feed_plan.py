@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.urls import host_of
-from quillmesh.operators import ledger, lexical, ranking, search, state, stories, vectors
+from quillmesh.operators import checks, ingest, ledger, lexical, ranking, research, search, state, stories, vectors
 from quillmesh.session import materialize, table
 
 NOW = "2026-04-25 00:00:00"
@@ -280,12 +280,66 @@ def vector_faults(s, d):
 
 
 def recall_top3(s, d):
-    """Per chat of the first exchange's row: its three nearest others, then those of at least 0.3."""
+    """Of every exchange whose id is divisible by 100: the three nearest others of its chat, then those of at least 0.3."""
     m = table(s, d, "chat_memory").dropDuplicates(["id"]).where(vectors.usable(F.col("embedding"), 64)).select("id", "chat_id", "embedding")
-    q = m.groupBy("chat_id").agg(F.min(F.struct("id", "embedding")).alias("q"))
-    sims = m.join(q, "chat_id").where("id != q.id").select("chat_id", "id", F.round(vectors.cosine(F.col("embedding"), F.col("q.embedding")), 6).alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("chat_id").orderBy(F.desc("sim"), "id"))
-    return sims.withColumn("k", rank).where("k <= 3 and sim >= 0.3").select("chat_id", "id", F.round("sim", 4).alias("sim"))
+    q = m.where("id % 100 = 0").select(F.col("id").alias("asked"), "chat_id", F.col("embedding").alias("v"))
+    sims = m.join(q, "chat_id").where("id != asked").select("asked", "id", F.round(vectors.cosine(F.col("embedding"), F.col("v")), 6).alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("sim"), "id"))
+    return sims.withColumn("k", rank).where("k <= 3 and sim >= 0.3").select("asked", "id", F.round("sim", 4).alias("sim"))
+
+
+def topic_brief(s, d):
+    """The first page of new stories on the most used tag: by its words, or by meaning through the last item of their URL."""
+    topics = _topics(s, d).where("ord = 1")
+    view = stories.story_view(_items(s, d), stories.root_key(F.col("id"), F.col("dup_of"))).where(F.col("created_at") >= F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    c = search.candidates(_item_vectors(s, d), view, FAILED).crossJoin(F.broadcast(topics.select("kw", F.col("v").alias("qv")).limit(1)))
+    words = F.forall(lexical.tokens(F.col("kw")), lambda w: F.array_contains(lexical.tokens(F.concat_ws(" ", "title", "summary", "angle", F.array_join("tags", " "))), w))
+    met = c.where(words | (F.coalesce(vectors.cosine(F.col("v"), F.col("qv")), F.lit(-1.0)) >= search.SIM))
+    page = ranking.page_of(met, [F.desc_nulls_last("score"), F.desc("created_at"), F.asc("match_key")], 0)
+    return page.select("match_key", "title", "score", "articles").withColumn("total", met.agg(F.count("*")).scalar())
+
+
+def nested_caps(s, d):
+    """Items in order of score, at most four a run, two a company, thirty in all."""
+    company = F.lower(F.trim(F.get_json_object("structured", "$.company")))
+    i = _items(s, d).where("run_id is not null").select("id", "run_id", "score", F.coalesce(F.nullif(company, F.lit("")), F.concat(F.lit("item "), "id")).alias("entity"))
+    return ranking.nested_caps(i, "run_id", "entity", [F.desc("score"), F.asc("id")]).select("id", "run_id", "entity", "score")
+
+
+def run_lists(s, d):
+    """The latest runs with their three best items as one JSON list."""
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "id"))
+    top = _items(s, d).where("run_id is not null").withColumn("k", rank).where("k <= 3")
+    return top.groupBy("run_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("k", "id", "score")))).alias("items"))
+
+
+def silent_polls(s, d):
+    """New records by whether their feed was polled before: those of a first poll are only marked as seen."""
+    fresh = ingest.dedupe_batch(table(s, d, "url_batches").dropDuplicates(["rec_id"]), table(s, d, "seen_urls"))
+    feeds = table(s, d, "sources").where("kind = 'rss'").groupBy(F.concat(F.lit("rss:"), F.regexp_extract(host_of(F.col("url")), r"([a-z0-9-]+)[.][a-z]+$", 1)).alias("name")).agg(F.max("bootstrapped_at").alias("bootstrapped_at"))
+    return ingest.first_polls(fresh, feeds).groupBy("silent").agg(F.count("*").alias("records"), F.count_distinct("source").alias("sources"))
+
+
+def claimed_saves(s, d):
+    """Saves still to be written: every item with a vote that no like was recorded for, after the failed ones were released."""
+    votes = _votes(s, d)
+    saves = votes.where("vote = 1").select("feed_item_id")
+    failed = saves.where("feed_item_id % 10 = 0")
+    return checks.claimed(votes.select("feed_item_id"), research.released(saves, failed))
+
+
+def brief_windows(s, d):
+    """From when a brief after each chat's last exchange tells, by days asked for or since the one before."""
+    c = table(s, d, "chat_memory").dropDuplicates(["id"]).groupBy("chat_id").agg(F.max("created_at").alias("now"), F.min("created_at").alias("first"), F.count("*").alias("n"))
+    days = F.when(F.col("n") % 3 == 0, F.lit(2))
+    last = F.when(F.col("n") % 3 == 1, F.col("first"))
+    return c.select("chat_id", F.unix_micros(checks.brief_window(last, days, F.col("now"))).alias("since"))
+
+
+def held_lease(s, d):
+    """Who holds each source kind's lease when all ask again a day after the last feed was added."""
+    held = table(s, d, "sources").groupBy(F.col("kind").alias("key")).agg(F.max_by("url", F.struct("created_at", "id")).alias("value"), F.max("created_at").alias("updated_at"))
+    return state.take_lease(held, "rss", "next", "2027-01-01 00:00:00").select("key", "value")
 
 
 def brief_page(s, d):
@@ -424,7 +478,7 @@ def evaluation_grid(s, d):
 QUERIES = {f.__name__: f for f in (
     story_view, story_urls, story_view_structured, generated_score, json_amounts, deep_duplicates, story_sizes, run_status, backlog, drain_batch, backlog_when_idle, pages_without_passages, top_titles, repaired_runs, error_digest, last_runs,
     scorecard_by_source, scorecard_by_host, scorecard_by_feed, latest_votes, taste_examples, boilerplate_passages, vocabulary, topic_idf, topic_coverage, nearest_passages, hybrid_passages, older_twin, twin_action, twin_action_default, other_label_twin, story_roots,
-    vector_faults, recall_top3, brief_page, feed_search_items, feed_search_stories, feed_search_unknown, feed_latest, feed_shown, feed_next, filtered_items, feed_list, feed_item_page, list_positions, joined_passages, reranked, passing_mentions, source_numbers, stable_sample, pass_cut, passage_text, item_texts,
+    vector_faults, recall_top3, topic_brief, nested_caps, run_lists, silent_polls, claimed_saves, brief_windows, held_lease, brief_page, feed_search_items, feed_search_stories, feed_search_unknown, feed_latest, feed_shown, feed_next, filtered_items, feed_list, feed_item_page, list_positions, joined_passages, reranked, passing_mentions, source_numbers, stable_sample, pass_cut, passage_text, item_texts,
     replaced_items, cascade, reactivated_sources, switched_off, failures_bumped, vocabulary_added, evaluation_grid,
 )}
 

@@ -1,5 +1,7 @@
 """The SQL of the queries in feed_plan."""
 
+from quillmesh.plans.urls_plan import _FRESH, _REC
+
 I = "(select distinct on (id) * from feed_items order by id)"  # noqa: E741
 _HOST = r"regexp_extract(lower(coalesce(canonical_url, '')), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)', 1)"
 _OK = "summary is distinct from 'TRIAGE_FAILED'"
@@ -139,9 +141,18 @@ SQL = {
     "story_roots": f"""with recursive p as (select e.id, t.older as parent from {_E} e left join (select id, older from {_OLD} where round(sim, 4) >= 0.40) t using (id)),
       up as (select id, id as root from p where parent is null union all select p.id, up.root from p join up on p.parent = up.id) select id, root from up""",
     "vector_faults": """select case when embedding is null then 'null' when len(embedding) <> 64 then 'length' when len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) > 0 then 'not finite' when len(list_filter(embedding, lambda x: x <> 0)) = 0 then 'zero' else 'usable' end as kind, count(*) as passages from doc_chunks group by 1""",
-    "recall_top3": f"""with m as (select distinct on (id) id, chat_id, embedding::double[] as v from chat_memory where {_FINE} order by id), q as (select chat_id, min(id) as qid from m group by 1),
-      s as (select m.chat_id, m.id, round(list_cosine_similarity(m.v, z.v), 6) as sim from q join m z on z.id = q.qid join m on m.chat_id = q.chat_id and m.id <> q.qid)
-      select chat_id, id, round(sim, 4) as sim from (select *, row_number() over (partition by chat_id order by sim desc, id) as k from s) where k <= 3 and sim >= 0.3""",
+    "recall_top3": f"""with m as (select distinct on (id) id, chat_id, embedding::double[] as v from chat_memory where {_FINE} order by id), s as (select q.id as asked, m.id, round(list_cosine_similarity(m.v, q.v), 6) as sim from m q join m on m.chat_id = q.chat_id and m.id <> q.id where q.id % 100 = 0)
+      select asked, id, round(sim, 4) as sim from (select *, row_number() over (partition by asked order by sim desc, id) as k from s) where k <= 3 and sim >= 0.3""",
+    "topic_brief": _search("story", "true") + f""", b1 as (select c.match_key, c.title, c.score, c.articles, c.created_at from call c join t on t.ord = 1 where c.created_at >= timestamptz '2026-01-01 00:00:00+00' and (len(list_filter({_WORDS.format('t.kw', '')}, lambda w: not list_contains({_WORDS.format("concat_ws(' ', c.title, c.summary, c.angle, array_to_string(c.tags, ' '))", '')}, w))) = 0 or coalesce(list_cosine_similarity(c.v, t.qv), -1) >= 0.45))
+      select match_key, title, score, articles, (select count(*) from b1) as total from b1 order by score desc nulls last, created_at desc, match_key limit 5""",
+    "nested_caps": f"""with i as (select id, run_id, score, coalesce(nullif(lower(trim(structured::json ->> '$.company')), ''), 'item ' || id) as entity from {I} where run_id is not null), a as (select *, row_number() over (partition by run_id order by score desc, id) as p from i),
+      b as (select *, row_number() over (partition by entity order by score desc, id) as e from a where p <= 4) select id, run_id, entity, score from b where e <= 2 order by score desc, id limit 30""",
+    "run_lists": f"select run_id, to_json(list({{'k': k::int, 'id': id, 'score': score}} order by k))::varchar as items from (select run_id, id, score, row_number() over (partition by run_id order by score desc, id) as k from {I} where run_id is not null) where k <= 3 group by 1",
+    "silent_polls": f"""with f as (select 'rss:' || regexp_extract(regexp_extract(lower(url), '^[a-z]+://(?:www\\.)?([^/?#:]+)', 1), '([a-z0-9-]+)[.][a-z]+$', 1) as name, max(bootstrapped_at) as b from sources where kind = 'rss' group by 1),
+      n as (select source from {_FRESH} x join {_REC} r using (rec_id)) select coalesce(f.name is not null and f.b is null, false) as silent, count(*) as records, count(distinct n.source) as sources from n left join f on f.name = n.source group by 1""",
+    "claimed_saves": f"select distinct feed_item_id from {_VOTES} where not (vote = 1 and feed_item_id % 10 <> 0)",
+    "brief_windows": "select chat_id, epoch_us(case when n % 3 = 0 then now_ - interval 2 day when n % 3 = 1 then first_ else now_ - interval 7 day end) as since from (select chat_id, max(created_at) as now_, min(created_at) as first_, count(*) as n from (select distinct on (id) * from chat_memory order by id) group by 1)",
+    "held_lease": "select kind as key, case when kind = 'rss' then 'next' else arg_max(url, (created_at, id)) end as value from sources group by kind",
     "brief_page": f"""with v as (select s.*, f.summary from ({_STORY}) s join {I} f on f.id = s.rep_id), w as (select * from v where created_at >= epoch_us(timestamptz '2026-01-01 00:00:00+00') and {_OK})
       select rep_id, title, score, articles, (select count(*) from w) as total, (select count(*) from w where score >= 7) as good from w order by score desc nulls last, created_at desc, rep_id limit 5 offset 5""",
     "filtered_items": f"select case when f then 'listed' when not f then 'outside' else 'neither' end as side, count(*) as items from (select coalesce(published_at, created_at) >= timestamptz '2025-06-01 00:00:00+00' and relevance >= 4 and score >= 6 as f from {I} where {_OK}) group by 1",

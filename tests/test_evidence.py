@@ -125,3 +125,10 @@ def test_history_and_replacements(spark):
     fresh = spark.createDataFrame([("a", 1)], "canonical string, rec_id int")
     batch = spark.createDataFrame([("a", 1, True, None), ("b", 2, True, False), ("b", 3, None, True), ("c", 4, False, None)], "canonical string, rec_id int, slides boolean, transcribe boolean")
     assert sorted(tuple(r) for r in R.wanted_again(fresh, batch).collect()) == [("a", 1, ""), ("b", 2, "replace")]
+
+
+def test_named_finds(spark):
+    page = "Alfa Port was built with the Grid Storage Kit, they said. GSK is free."
+    cases = [("Alfa Port", "Alfa Port was built with the Grid Storage Kit", page, "Grid Storage Kit"), ("Alfa Port", "never said at all", page, "Grid Storage Kit"), ("the Grid Storage Kit", "GSK is free.", page, "Grid Storage Kit"), ("Beta", "GSK is free.", page, "Grid Storage Kit"), ("Alfa Port", "GSK is free.", page, "Other Tool"), ("Alfa Port", "Alfa Port uses GSK", "So Alfa Port uses GSK.", "Grid Storage Kit"), (None, "GSK is free.", page, "x y z")]
+    got = run(spark, E.named_fit(C("n"), C("q"), C("t"), C("s")), cases, "n string, q string, t string, s string")
+    assert got == [None, "no such quote", "the subject itself", "not named", "subject missing", None, "the subject itself"]

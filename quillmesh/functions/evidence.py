@@ -13,7 +13,7 @@ NAME_STOP = (
     "ai would do does did is are was were be can could should will also here there what which who when where why how "
     "based according under over after before since during while both each every some any all most many more less other "
     "feed item items article articles source sources summary evidence passage note older latest recent new score "
-    "telegram overseer exa tavily brave rss want shall let sure ok okay please thanks "
+    "telegram exa tavily brave rss want shall let sure ok okay please thanks "
     "january february march april may june july august september october november december "
     "jan feb mar apr jun jul aug sep sept oct nov dec monday tuesday wednesday thursday friday saturday sunday"
 ).split()

@@ -43,7 +43,8 @@ TERM_SHARE, MIN_DOCS = 2e-4, 3
 #: A term bears a subject if that much of its loading is on it.
 PURE = 0.6
 QUARTER = 0.25
-SHRINK = 3.0
+#: Documents of no particular subject that are added to each term, over all documents and in the labelled sample.
+SHRINK, ANCHOR_SHRINK = 3.0, 1.0
 #: The part of a mixture from which on a subject is checked.
 LEAST = 0.08
 #: A text has a subject only if this share of its sentences bears one.
@@ -275,7 +276,7 @@ def fit_anchors(block: Block, given: list[list[int]], k: int, rounds: int = ROUN
             h[:k] /= h[:k].sum(axis=1, keepdims=True)
         mass = np.stack([sums(r, j) for j in range(k)])
         base = w[:, :k].sum(axis=0)[:, None] + 0.5
-        load = (mass + SHRINK * base / base.sum()) / base
+        load = (mass + ANCHOR_SHRINK * base / base.sum()) / base
         load /= load.sum(axis=0) + 1e-300
         own_share = mass.sum(axis=0) / np.maximum(seen, 1)
         pure = (load.max(axis=0) >= PURE) & (own_share >= 0.3)

@@ -33,9 +33,17 @@ def idf(passages: DataFrame, words: DataFrame) -> DataFrame:
     return words.join(df, "lex", "left").select("ord", "lex", F.log(total.scalar() / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
 
 
+#: Words up to which they are looked for in a text's tokens before these become rows.
+FEW = 1000
+
+
 def _hits(passages: DataFrame, words: DataFrame) -> DataFrame:
-    """(raw_doc_id, n, lex): the words (lex) that each passage has; left to the optimizer's own size check to broadcast."""
-    return passages.select("raw_doc_id", "n", F.explode(tokens(F.col("text"))).alias("lex")).join(words, "lex")
+    """(raw_doc_id, n, lex, ...): the words (lex) that each passage has. More than FEW words are met by a join on all tokens instead."""
+    few = [r.lex for r in words.select("lex").distinct().limit(FEW + 1).collect()]
+    found = tokens(F.col("text"))
+    if len(few) <= FEW:
+        found = F.array_intersect(found, F.array(*map(F.lit, few)).cast("array<string>"))
+    return passages.select("raw_doc_id", "n", F.explode(found).alias("lex")).join(words, "lex")
 
 
 def coverage(passages: DataFrame, weighted: DataFrame, boiler: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.operators import lexical, ranking, vectors
+from quillmesh.session import materialize
 
 # Cutoffs and weights of the search, and how many rows are kept where.
 SIM, BOOST, PASSAGE, POOL = 0.45, 0.15, 0.05, 40
@@ -32,9 +33,9 @@ def topic_words(topics: DataFrame) -> DataFrame:
 
 
 def keyword_hit(tags: Column, text: Column, kw: Column) -> Column:
-    """Whether a tag contains the topic, or six tenths of the topic's words (one at least) stand in the text."""
+    """Whether a tag contains the topic, or six tenths of the topic's words (one at least) are among the text's tokens."""
     words = F.filter(lexical.tokens(kw), lambda w: w != "ai")
-    met = F.size(F.array_intersect(words, lexical.tokens(text)))
+    met = F.size(F.array_intersect(words, text))
     tagged = F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda t: t.contains(F.lower(kw)))
     return F.coalesce(tagged, F.lit(False)) | (met >= F.greatest(F.lit(1), F.ceil(F.size(words) * 0.6)))
 
@@ -83,7 +84,7 @@ def passage_pool(passages: DataFrame, topics: DataFrame, dim: int, pages: int =
     near = vectors.nearest(topics.where("v is not null").select(F.col("ord").cast("long").alias("q"), "v"), keyed, POOL)
     near = near.select(F.col("q").cast("int").alias("ord"), F.shiftright("id", 20).alias("raw_doc_id"), F.col("id").bitwiseAND(F.lit(2**20 - 1)).cast("int").alias("n"), "sim")
     words = lexical.coverage(passages, lexical.idf(passages, topic_words(topics)), boiler)
-    return lexical.merge_candidates(near, words, keep_all=True)
+    return materialize(lexical.merge_candidates(near, words, keep_all=True), "pool")  # for the best passage of a page and the next
 
 
 def page_hits(pool: DataFrame) -> DataFrame:
@@ -118,8 +119,8 @@ def search(rows: DataFrame, topics: DataFrame, hits: DataFrame, filters: Column,
         best = call.where("in_filter").select(*kept, F.lit(None).cast("int").alias("ord"), F.lit(None).cast("double").alias("sim"), F.lit(None).cast("boolean").alias("kw_hit"), F.lit(None).cast("double").alias("rel"), *[F.lit(None).cast(t).alias(c) for c, t in (("pn", "int"), ("psim", "double"), ("pcover", "double"), ("pn2", "int"), ("rn", "int"))])
     else:
         text = F.concat_ws(" ", "title", "summary", "angle", F.array_join("tags", " "))
-        m = call.crossJoin(F.broadcast(topics.select("ord", "kw", F.col("v").alias("qv"))))  # topics are checked to be few
-        m = m.withColumn("sim", vectors.cosine(F.col("v"), F.col("qv"))).withColumn("kw_hit", keyword_hit(F.col("tags"), text, F.col("kw")))
+        m = call.withColumn("words", lexical.tokens(text)).crossJoin(F.broadcast(topics.select("ord", "kw", F.col("v").alias("qv"))))  # topics are checked to be few
+        m = m.withColumn("sim", vectors.cosine(F.col("v"), F.col("qv"))).withColumn("kw_hit", keyword_hit(F.col("tags"), F.col("words"), F.col("kw")))
         m = m.join(hits.drop("raw_doc_id"), ["ord", "match_key"], "left")
         own = F.col("kw_hit") | (F.coalesce("sim", F.lit(-1.0)) >= SIM)
         rel = F.when(own, F.coalesce("sim", F.lit(0.0)) + F.when(F.col("kw_hit"), BOOST).otherwise(0.0) + F.when(F.col("pscore").isNotNull(), PASSAGE).otherwise(0.0)).otherwise(F.coalesce("psim", F.lit(0.0)))
@@ -128,6 +129,7 @@ def search(rows: DataFrame, topics: DataFrame, hits: DataFrame, filters: Column,
         best = met.withColumn("k", first).where("k = 1")
         rank = F.row_number().over(Window.partitionBy("ord", "in_filter").orderBy(F.desc("rel"), F.desc_nulls_last("score"), F.desc_nulls_last("published_at"), "id"))
         best = best.withColumn("rn", rank).select(*kept, "ord", "sim", "kw_hit", "rel", "pn", "psim", "pcover", "pn2", "rn")
+    best = materialize(best, "matches")  # read three times: the listed, those beside, and their number
     quota = -(-limit // max(1, n))
     order = [F.asc_nulls_first("ord"), F.asc_nulls_last("rn"), F.desc_nulls_last("score"), F.desc_nulls_last("published_at"), F.asc("id")]
     listed = best.where(F.col("in_filter") & (F.col("rn").isNull() | (F.col("rn") <= quota))).orderBy(*order).limit(limit).withColumn("outside", F.lit(False))

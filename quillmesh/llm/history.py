@@ -54,8 +54,8 @@ COVER, STRONG = 400, 5000
 HOT = 64
 #: Share of a body's five-word sequences, in ten thousandths, from which on they are too hot to meet its like on the others.
 HOT_SHARE = 5500
-#: Suffixes in a shard at most, on average.
-SHARD_ROWS = 500_000
+#: Suffixes in a shard at most, on average, and from how many on another shard is worth its files.
+SHARD_ROWS, SPREAD_ROWS = 500_000, 50_000
 BLOCK = 16
 _SPLIT = 100_000
 
@@ -424,8 +424,10 @@ class History:
         self._save([])
 
     def _shards(self, words: int) -> int:
-        # several shards a partition, so that they spread evenly when they are hashed to tasks
-        return max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-words // (4 * SHARD_ROWS)))
+        # several shards a partition, so that they spread evenly when they are hashed to tasks; a small batch has few
+        rows = max(1, words // 3)
+        wanted = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(min(wanted, -(-rows // SPREAD_ROWS)), -(-rows // SHARD_ROWS))
 
     def _mark(self, array: DataFrame, rows: DataFrame, folder: str, *more: DataFrame) -> None:
         """Stores how much of each body is hot: (doc, long, short)."""

@@ -5,8 +5,8 @@ Canonical forms are stored once, so a later batch doesn't canonicalize the past
 
 Pages: the words of a batch's main bodies are laid end to end, and the suffixes that begin at a minimizer (any run of 16
 words holds one) are put in order of their first twelve words, each word by its 5-bit number: the batch's suffix array.
-It is kept in shards by a hash of these words, each shard in suffix order, and never changed. A search takes the batch's
-substrings shard by shard to the stored arrays, finds the stretch of suffixes that begin with each by binary search, and
+It is kept in shards by a hash of these words and never changed; a shard is one row, whose columns are arrays in suffix
+order, so Spark moves few large values instead of a row a suffix. A search takes the batch's substrings shard by shard to the stored arrays, finds the stretch of suffixes that begin with each by binary search, and
 adds up, over the substrings met, how much of the record each earlier one covers. What is covered enough is compared by
 the exact Jaccard similarity of five-word sequences, the lowest strongly covered record first. Bodies under 150 words
 have all their five-word suffixes in the array. Arrays of one level are merged pairwise, so n batches leave at most
@@ -78,13 +78,10 @@ def _known(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def word_numbers(text: str, cache: dict[str, int]) -> np.ndarray:
     """32-bit numbers of the words of a text: runs of letters, digits and underscores in lower case."""
-    out = []
-    for w in _WORD.findall(text.lower()):
-        n = cache.get(w)
-        if n is None:
-            n = cache[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        out.append(n)
-    return np.array(out, dtype=np.uint32)
+    words = _WORD.findall(text.lower())
+    for w in set(words).difference(cache):
+        cache[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+    return np.fromiter(map(cache.__getitem__, words), np.uint32, len(words))
 
 
 def fingerprints(words: np.ndarray, depth: int) -> np.ndarray:
@@ -212,25 +209,108 @@ def suffix_rows(bodies: DataFrame) -> DataFrame:
     return bodies.select("id", "words").mapInPandas(_suffix_rows, "key long, doc long, part int")
 
 
-def suffix_array(rows: DataFrame, shards: int, hot: int = HOT) -> DataFrame:
-    """(key, doc, part, hot, met, shard): (key, doc, part) in shards, each in suffix order; a key in more than ``hot`` bodies is one marked row.
+_PACKED = "shard int, key binary, doc binary, part binary, mark binary"
+_ARRAY = _PACKED + ", warm binary"
+_KINDS = {"key": np.int64, "doc": np.int64, "part": np.int32, "mark": np.uint8}
+#: Bits of a mark: the key is hot; it isn't alone.
+_IS_HOT, _IS_MET = 1, 2
 
-    Lists are cut to hot + 1 rows before they are shuffled. met: the key isn't alone. Rows with a column ``hot`` are those of
-    two arrays, which are cut already, and keep their mark.
+
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each key."""
+    return ((key.view(np.uint64) * _MULT >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+
+
+def _packed(rows: dict[str, np.ndarray], shards: int) -> pd.DataFrame:
+    """A row of arrays for each shard that rows belong to; within a shard they keep their order."""
+    shard = shard_of(rows["key"], shards)
+    order = np.argsort(shard, kind="stable")
+    at, begin = np.unique(shard[order], return_index=True)
+    end = [*begin[1:], len(order)]
+    columns = {c: [v[a:b].tobytes() for a, b in zip(begin, end)] for c, v in ((c, rows[c][order].astype(kind)) for c, kind in _KINDS.items())}
+    return pd.DataFrame({"shard": at, **columns})
+
+
+def _unpacked(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(b"".join(pdf[c]), dtype=kind) for c, kind in _KINDS.items() if c in pdf}
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal keys begin, and their lengths."""
+    begin = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.array([], np.int64)
+    return begin, np.diff(np.append(begin, len(key)))
+
+
+def array_parts(bodies: DataFrame, shards: int, hot: int = HOT) -> DataFrame:
+    """The kept suffixes of (id, words) in parts of shards; the list of a key is cut to the lowest hot + 1 of each part before it is shuffled."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.sort_values("id")
+            key, doc, part = suffixes([np.frombuffer(w, dtype=np.uint32) for w in pdf["words"]])
+            order = np.argsort(key, kind="stable")  # bodies come in order already
+            begin, n = _runs(key[order])
+            order = order[np.arange(len(key)) - np.repeat(begin, n) <= hot]
+            yield _packed({"key": key[order], "doc": pdf["id"].to_numpy()[doc[order]], "part": part[order], "mark": np.zeros(len(order))}, shards)
+
+    return bodies.select("id", "words").mapInPandas(each, _PACKED)
+
+
+def resharded(array: DataFrame, shards: int) -> DataFrame:
+    """The rows of an array in parts of other shards."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _packed(_unpacked(pdf), shards)
+
+    return array.select("key", "doc", "part", "mark").mapInPandas(each, _PACKED)
+
+
+def suffix_array(parts: DataFrame, hot: int = HOT) -> DataFrame:
+    """(shard, key, doc, part, mark, warm): a row for each shard, its arrays in suffix order; a key in more than ``hot`` bodies is one marked suffix.
+
+    Marks of the parts stay. warm: (doc, long, short), what of each body has become hot here, of the suffixes that weren't cut before.
     """
-    every = Window.partitionBy("key")
-    if "hot" in rows.columns:
-        cut = rows.select("key", "doc", "part", "hot").withColumn("rank", F.row_number().over(every.orderBy("doc")))
-    else:
-        cut = rows.withColumn("hot", F.lit(False)).withColumn("rank", F.row_number().over(every.orderBy("doc"))).where(F.col("rank") <= hot + 1)
-    cut = cut.withColumn("n", F.count("*").over(every)).withColumn("hot", F.max("hot").over(every) | (F.col("n") > hot))
-    cut = cut.where(~F.col("hot") | (F.col("rank") == 1)).withColumn("shard", F.pmod(F.hash("key"), F.lit(shards)))
-    return cut.select("key", "doc", "part", "hot", (F.col("n") > 1).alias("met"), "shard").sortWithinPartitions("shard", "key", "doc")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _unpacked(pdf)
+        order = np.lexsort((rows["doc"], rows["key"]))
+        key, doc, part, mark = (rows[c][order] for c in _KINDS)
+        begin, n = _runs(key)
+        was = mark & _IS_HOT
+        is_hot = (np.maximum.reduceat(was, begin) > 0) | (n > hot)
+        every = np.repeat(is_hot, n)
+        lost, few = every & (was == 0), key < 0
+        warm = pd.DataFrame({"doc": doc[lost], "long": np.where(few, 0, part)[lost], "short": np.where(few, part, 0)[lost]}, dtype="int64").groupby("doc", as_index=False).sum()
+        kept = ~every
+        kept[begin] = True
+        marks = np.repeat((is_hot * _IS_HOT + (n > 1) * _IS_MET).astype(np.uint8), n)
+        out = {c: [v[kept].tobytes()] for c, v in zip(_KINDS, (key, doc, part, marks))}
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1].to_numpy(), **out, "warm": [np.ascontiguousarray(warm.to_numpy(dtype=np.int64).T).tobytes()]})
+
+    return parts.groupBy("shard").applyInPandas(build, _ARRAY)
+
+
+def hot_keys(array: DataFrame) -> DataFrame:
+    """(key): the hot keys of an array."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = _unpacked(pdf)
+            yield pd.DataFrame({"key": rows["key"][rows["mark"] & _IS_HOT > 0]})
+
+    return array.select("key", "mark").mapInPandas(each, "key long")
+
+
+def _warmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for w in pdf["warm"]:
+            yield pd.DataFrame(dict(zip(("doc", "long", "short"), np.frombuffer(w, dtype=np.int64).reshape(3, -1))))
 
 
 def _pairs(doc: np.ndarray, old: np.ndarray, part: np.ndarray, few: np.ndarray) -> pd.DataFrame:
     flat = pd.DataFrame({"doc": doc, "old": old, "long": np.where(few, 0, part), "short": np.where(few, part, 0)})
-    return flat.groupby(["doc", "old"], as_index=False).sum()
+    return flat.groupby(["doc", "old"], as_index=False, sort=False).sum()
 
 
 _PAIR = "doc long, old long, long long, short long"
@@ -246,37 +326,42 @@ def search_shard(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
     A substring that is hot on the other side is given as a pair of its record with itself, and counts as hot there.
     """
     out: list[pd.DataFrame] = []
-    stored = stored.iloc[np.argsort(stored["key"].to_numpy(), kind="stable")]  # runs in order, merged
-    keys, olds, marks = stored["key"].to_numpy(), stored["doc"].to_numpy(), stored["hot"].to_numpy().astype(bool)
-    weight = stored["part"].to_numpy().astype(np.int64)
-    for begin in range(0, len(asked) if len(keys) else 0, _SPLIT):
-        a = asked.iloc[begin : begin + _SPLIT]
-        key, doc, part, mark = (a[c].to_numpy() for c in ("key", "doc", "part", "hot"))
+    keys, olds, weight, marks = _unpacked(stored).values()  # a shard is one row, in suffix order
+    every = _unpacked(asked)
+    for begin in range(0, len(every["key"]) if len(keys) else 0, _SPLIT):
+        key, doc, part, mark = (v[begin : begin + _SPLIT] for v in every.values())
         low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
         many = high - low
-        i = np.repeat(np.arange(len(a)), many)
+        i = np.repeat(np.arange(len(key)), many)
         j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-        mine, theirs = mark.astype(bool)[i], marks[j]
+        mine, theirs = mark[i] & _IS_HOT > 0, marks[j] & _IS_HOT > 0
         plain = ~mine & ~theirs & (doc[i] != olds[j])
         if plain.any():
             out.append(_pairs(doc[i][plain], olds[j][plain], part[i][plain].astype(np.int64), key[i][plain] < 0))
-        for which, who, share in ((~mine & theirs, doc[i], part[i].astype(np.int64)), (mine & ~theirs, olds[j], weight[j])):
+        for which, who, share in ((~mine & theirs, doc[i], part[i].astype(np.int64)), (mine & ~theirs, olds[j], weight[j].astype(np.int64))):
             if which.any():
                 out.append(_pairs(who[which], who[which], share[which], key[i][which] < 0))
     return _frame(out)
 
 
-def search_own(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The same within one array's shard: every record with those of lower ids on its lists."""
-    pdf = pdf.sort_values(["key", "doc"])
-    key, doc, part = pdf["key"].to_numpy(), pdf["doc"].to_numpy(), pdf["part"].to_numpy().astype(np.int64)
-    out = []
-    for step in range(1, len(key)):  # no list is longer than HOT
-        same = np.nonzero(key[step:] == key[:-step])[0]
-        if not len(same):
-            break
-        out.append(_pairs(doc[same + step], doc[same], part[same + step], key[same] < 0))
-    return _frame(out).groupby(["doc", "old"], as_index=False).sum() if out else _frame(out)
+def search_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same within the shards of one array: every record with those of lower ids on its lists."""
+    for pdf in batches:
+        for k in range(len(pdf)):
+            rows = _unpacked(pdf.iloc[k : k + 1])
+            met = rows["mark"] == _IS_MET
+            key, doc, part = (rows[c][met] for c in ("key", "doc", "part"))
+            low, high = [], []
+            at, step = np.arange(len(key)), 0
+            while len(at):  # no list is longer than HOT
+                step += 1
+                at = at[: np.searchsorted(at, len(key) - step)]
+                at = at[key[at + step] == key[at]]
+                low.append(at)
+                high.append(at + step)
+            if low:
+                a, b = np.concatenate(low), np.concatenate(high)
+                yield _pairs(doc[b], doc[a], part[b].astype(np.int64), key[b] < 0)
 
 
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -400,7 +485,7 @@ class History:
         return self.spark.read.schema(df.schema).parquet(folder)
 
     def _array(self, segment: dict) -> DataFrame:
-        return self.spark.read.schema("key long, doc long, part int, hot boolean, met boolean, shard int").parquet(f"{segment['folder']}/suffixes")
+        return self.spark.read.schema(_ARRAY).parquet(f"{segment['folder']}/suffixes")
 
     def _hot(self, segment: dict) -> DataFrame:
         return self.spark.read.schema("doc long, long long, short long").parquet(f"{segment['folder']}/hot")
@@ -429,13 +514,8 @@ class History:
         wanted = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return max(min(wanted, -(-rows // SPREAD_ROWS)), -(-rows // SHARD_ROWS))
 
-    def _mark(self, array: DataFrame, rows: DataFrame, folder: str, *more: DataFrame) -> None:
-        """Stores how much of each body is hot: (doc, long, short)."""
-        few = F.col("key") < 0
-        shares = [F.when(few, 0).otherwise(F.col("part")).cast("long").alias("long"), F.when(few, F.col("part")).otherwise(0).cast("long").alias("short")]
-        marked = rows.join(array.where("hot").select("key"), "key", "left_semi").select("doc", *shares)
-        for m in more:
-            marked = marked.unionByName(m)
+    def _mark(self, marked: DataFrame, folder: str) -> None:
+        """Stores how much of each body is hot, (doc, long, short), from any rows of these."""
         self._put(marked.groupBy("doc").agg(F.sum("long").alias("long"), F.sum("short").alias("short")), f"{folder}/hot")
 
     def _merge(self) -> None:
@@ -443,19 +523,21 @@ class History:
             a, b = self.segments[-2:]
             folder = self._folder()
             shards = max(a["shards"], b["shards"], self._shards(a["words"] + b["words"]))
-            rows = self._array(a).unionByName(self._array(b))
-            array = self._put(suffix_array(rows, shards, self.hot), f"{folder}/suffixes", "shard")
-            self._mark(array, rows.where("not hot"), folder, self._hot(a), self._hot(b))
+            parts = resharded(self._array(a), shards).unionByName(resharded(self._array(b), shards))
+            array = self._put(suffix_array(parts, self.hot), f"{folder}/suffixes", "shard")
+            warm = array.select("warm").mapInPandas(_warmed, "doc long, long long, short long")
+            self._mark(warm.unionByName(self._hot(a)).unionByName(self._hot(b)), folder)
             self.segments[-2:] = [{"level": a["level"] + 1, "folder": folder, "shards": shards, "words": a["words"] + b["words"], "bodies": a["bodies"] + b["bodies"]}]
             self._save([a["folder"], b["folder"]])
 
     def _search(self, own: dict, segment: dict) -> DataFrame:
         asked, stored = self._array(own), self._array(segment)
-        shard = F.pmod(F.hash("key"), F.lit(segment["shards"]))
+        if segment["shards"] != own["shards"]:
+            asked = resharded(asked, segment["shards"])
         if segment["shards"] > own["shards"]:  # a small batch reads the shards it touches only; at most one number a shard
-            stored = stored.where(F.col("shard").isin([r.shard for r in asked.select(shard.alias("shard")).distinct().collect()]))
-        one = asked.select("key", "doc", "part", "hot", shard.alias("shard")).groupBy("shard")
-        two = stored.select("key", "doc", "part", "hot", F.col("shard").alias("at")).groupBy("at")
+            stored = stored.where(F.col("shard").isin([r.shard for r in asked.select("shard").distinct().collect()]))
+        one = asked.select("shard", *_KINDS).groupBy("shard")
+        two = stored.select(F.col("shard").alias("at"), *_KINDS).groupBy("at")
         return one.cogroup(two).applyInPandas(search_shard, _PAIR)
 
     def accept(self, batch: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -475,12 +557,14 @@ class History:
         if size.n is None:
             return members.select(F.col("id").alias("id_a"), F.col("id").alias("id_b")).limit(0)
         own = {"level": 0, "folder": folder, "shards": self._shards(size.n // 4), "words": size.n // 4, "bodies": [f"{folder}-bodies"]}
-        rows = suffix_rows(bodies)
-        array = self._put(suffix_array(rows, own["shards"], self.hot), f"{folder}/suffixes", "shard")
+        array = self._put(suffix_array(array_parts(bodies, own["shards"], self.hot), self.hot), f"{folder}/suffixes", "shard")
+        keys = materialize(hot_keys(array), "hot")
         # long hot suffixes are rare; without any only the bodies that have five-word ones are read again
-        long = array.where("hot and key > 0").isEmpty()
-        self._mark(array, suffix_rows(bodies.where(F.length("words") < 4 * SHORT / SIMILARITY)) if long else rows, folder)
-        found = array.where("met and not hot").select("shard", "key", "doc", "part").groupBy("shard").applyInPandas(search_own, _PAIR)
+        few = keys.where("key >= 0").isEmpty()
+        rows = suffix_rows(bodies.where(F.length("words") < 4 * SHORT / SIMILARITY) if few else bodies).join(keys, "key", "left_semi")
+        share = [F.when(c, F.col("part")).otherwise(0).cast("long").alias(n) for n, c in (("long", F.col("key") >= 0), ("short", F.col("key") < 0))]
+        self._mark(rows.select("doc", *share), folder)
+        found = array.select(*_KINDS).mapInPandas(search_own, _PAIR)
         for segment in self.segments:
             found = found.unionByName(self._search(own, segment))
         found = materialize(found, "found")

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,3 +143,27 @@ def test_known_records(spark):
 @pytest.mark.parametrize("text", ["", "!!", "x"])
 def test_short_bodies(text):
     assert len(h.suffixes([h.word_numbers(text, {})])[0]) == len(text.strip("!"))
+
+
+def test_an_array_is_a_row_a_shard_in_suffix_order(spark):
+    rows = pages()
+    hist = h.History(spark, hot=8)
+    for lo in range(0, len(rows), 30):
+        hist.accept(table(spark, rows[lo : lo + 30])).collect()
+    for segment in hist.segments:
+        stored = hist._array(segment).collect()
+        assert len(stored) == len({r.shard for r in stored}) <= segment["shards"]
+        for r in stored:
+            key, doc, mark = (np.frombuffer(r[c], kind) for c, kind in (("key", np.int64), ("doc", np.int64), ("mark", np.uint8)))
+            order = list(zip(key.tolist(), doc.tolist()))
+            assert order == sorted(set(order)) and set(h.shard_of(key, segment["shards"]).tolist()) == {r.shard}
+            assert max(np.unique(key, return_counts=True)[1]) <= 8
+            assert len(set(key[mark & 1 > 0])) == (mark & 1).sum()
+
+
+@given(st.lists(st.integers(-(2**63), 2**63 - 1), max_size=40), st.integers(1, 7))
+def test_shards_keep_every_suffix(keys, shards):
+    n = len(keys)
+    rows = {"key": np.array(keys, np.int64), "doc": np.arange(n), "part": np.arange(n) * 3, "mark": np.zeros(n)}
+    back = h._unpacked(h._packed(rows, shards))
+    assert sorted(zip(*(back[c].tolist() for c in rows))) == sorted(zip(*(rows[c].tolist() for c in rows)))
